@@ -21,6 +21,9 @@ _STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.minBatchesToRetain": "2",
 }
+#: A state partition is a store of its own with some megabytes of fixed files, and
+#: stays for the life of the stream: one for so many bytes of input, eight at least.
+STATE_PARTITION_BYTES = 32 << 20
 
 
 def ascii_lower(col: Column) -> Column:
@@ -54,9 +57,11 @@ def digest_state(spark: SparkSession, path: str, doc_id: str, text: str, bits: i
         if to not in batches:
             batches.append(to)
 
-    before = {k: spark.conf.get(k, None) for k in _STATE_CONF}
+    n_bytes = int(spark.read.parquet(path)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    conf = _STATE_CONF | {"spark.sql.streaming.internal.stateStore.partitions": str(max(8, -(-n_bytes // STATE_PARTITION_BYTES)))}
+    before = {k: spark.conf.get(k, None) for k in conf}
     try:
-        for k, v in _STATE_CONF.items():
+        for k, v in conf.items():
             spark.conf.set(k, v)
         query = state.writeStream.outputMode("update").option("checkpointLocation", f"{tag}/state").trigger(availableNow=True).foreachBatch(keep).start()
         query.awaitTermination()
