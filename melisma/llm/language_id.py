@@ -229,8 +229,8 @@ def identify(df: DataFrame, model: Model | None, text: str = "text") -> DataFram
 
 def learn(docs: DataFrame, per_class: int = TRAIN_DOCS, text_chars: int = TRAIN_CHARS) -> Model | None:
     """Train on the bounded sample of training rows that have a language."""
-    rows = docs.where(train_row()).select("doc_id", "text", "lang")
-    return train(training_sample(rows, "lang", per_class, text_chars))
+    classes = docs.where(train_row()).select("doc_id", F.col("lang").alias("y"))
+    return train(training_sample(docs, classes, per_class, text_chars))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from .common import table, train_row, training_sample
 from .textvec import Words, mix64, shingles, text_slices, words_of
 
 #: The bound of the training sample: documents of each label, characters of each.
-TRAIN_DOCS, TRAIN_CHARS = 4000, 100_000
+TRAIN_DOCS, TRAIN_CHARS = 2500, 50_000
 PREFIXES = (4, 5, 6)
 BITS, SEQUENCE = 22, 64
 #: Least likelihood ratio, and share of a marker's documents that are toxic.
@@ -130,20 +130,39 @@ def mark(rows: np.ndarray, text_of: np.ndarray, toxic: np.ndarray) -> np.ndarray
     return marked & toxic[text_of]
 
 
-def distinct(column: pa.Array, tries: int = 4) -> np.ndarray:
-    """Places of texts that are no copy or near copy of an earlier one: texts that
+class Distinct:
+    """Tells texts that are no copy or near copy of an earlier one: texts that
     share one of four min-hashes of word triples count as copies, for a copied
     toxic document would make all of its words look toxic."""
-    h, bound = shingles(words_of(column), 3)
-    at = np.minimum(bound[:-1], max(0, len(h) - 1))
-    least = [np.minimum.reduceat(mix64(h + np.uint64(977 * i)), at) for i in range(tries)] if len(h) else []
-    seen, out = set(), []
-    for i in range(len(bound) - 1):
-        keys = [(j, int(x[i])) for j, x in enumerate(least)] if bound[i + 1] > bound[i] else []
-        if keys and seen.isdisjoint(keys):
-            out.append(i)
-        seen.update(keys)
-    return np.array(out, int)
+
+    def __init__(self, tries: int = 4) -> None:
+        self.tries, self.seen = tries, set()
+
+    def __call__(self, words: Words) -> np.ndarray:
+        h, bound = shingles(words, 3)
+        at = np.minimum(bound[:-1], max(0, len(h) - 1))
+        least = [np.minimum.reduceat(mix64(h + np.uint64(977 * i)), at) for i in range(self.tries)] if len(h) else []
+        out = np.zeros(len(bound) - 1, bool)
+        for i in np.flatnonzero(np.diff(bound)):
+            keys = [(j, int(x[i])) for j, x in enumerate(least)]
+            out[i] = self.seen.isdisjoint(keys)
+            self.seen.update(keys)
+        return out
+
+
+def prepare(sample: list[tuple[int, str]], at_once: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature rows of the sample's distinct texts, the bounds of each text's words
+    and whether it is toxic; worked through a few texts at a time."""
+    new, rows, sizes, toxic = Distinct(), [], [], []
+    for i in range(0, len(sample), at_once):
+        part = sample[i : i + at_once]
+        w, own = features(pa.array([t for _, t in part], pa.large_string()))
+        alone = new(w)
+        rows.append(own[:, alone[w.text_of()]])
+        sizes.append(np.diff(w.first)[alone])
+        toxic.append(np.array([int(y) == 1 for y, _ in part])[alone])
+    first = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    return np.concatenate(rows, 1), first, np.concatenate(toxic)
 
 
 def train(sample: list[tuple[int, str]], epochs: int = 6, rate: float = 0.5) -> Field:
@@ -152,14 +171,11 @@ def train(sample: list[tuple[int, str]], epochs: int = 6, rate: float = 0.5) ->
     field = Field(np.zeros(0, np.uint64), np.zeros(0), -6.0, np.zeros((2, 2)))
     if not any(int(y) == 1 for y, _ in sample):
         return field
-    texts = pa.array([t for _, t in sample], pa.large_string())
-    alone = distinct(texts)
-    toxic = np.array([int(y) == 1 for y, _ in sample])[alone]
-    w, rows = features(texts.take(pa.array(alone)))
-    y = mark(rows, w.text_of(), toxic)
+    rows, first, toxic = prepare(sample)
+    y = mark(rows, np.repeat(np.arange(len(toxic)), np.diff(first)), toxic)
     if not y.any():
         return field
-    start, size, _ = sequences(w.first)
+    start, size, _ = sequences(first)
     # Sequences with toxic words, and ten clean ones for each.
     has = np.add.reduceat(y, start) > 0
     rng = np.random.default_rng(3)
@@ -242,9 +258,8 @@ def score(df: DataFrame, field: Field, text: str = "text", spans: bool = True) -
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCS, text_chars: int = TRAIN_CHARS) -> Field:
     """Train on the bounded sample of labelled training rows.  A document with
     several labels counts as toxic if any of them says so."""
-    known = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.where(train_row()).select("doc_id", "text").join(known, "doc_id")
-    return train(training_sample(rows, "toxic", per_class, text_chars))
+    known = labels.where(F.col("toxic").isNotNull() & train_row()).groupBy("doc_id").agg(F.max("toxic").alias("y"))
+    return train(training_sample(docs, known, per_class, text_chars))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
