@@ -1 +1 @@
-
+"""Column functions; see :mod:`melisma.functions.scalar`."""

@@ -1 +1 @@
-
+"""Data-agnostic DataFrame operators: column names are arguments."""
