@@ -68,6 +68,11 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def beside_text(df: DataFrame, keep: list[str], text: Column) -> DataFrame:
+    """The kept columns and a text, under names of their own that can't clash."""
+    return df.select(*(df[f"`{c}`"].alias(f"k{i}") for i, c in enumerate(keep)), text.cast("string").alias("text"))
+
+
 def train_row(doc_id: str = "doc_id") -> Column:
     """True for rows that a model may learn from: crc32 of the id's decimal text
     modulo 4 is not 2.  A null id counts as held out."""

@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import table, train_row, training_sample
+from .common import beside_text, table, train_row, training_sample
 from .textvec import raw_bytes, text_slices
 
 WINDOW, HIDDEN = 64, 8
@@ -201,8 +202,8 @@ def identify(df: DataFrame, model: Model | None, text: str = "text") -> DataFram
     """
     keep = [c for c in df.columns if c not in (text, "lang_pred", "score")]
     has = F.coalesce(F.col(text).cast("string").rlike(r"\p{L}"), F.lit(False))
-    rows = df.select(*keep, F.when(has, F.col(text).cast("string")).alias("__text"))
-    schema = df.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    rows = beside_text(df, keep, F.when(has, F.col(text)))
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -5,8 +5,8 @@ source's size.  The whole part is taken; the fractional parts are inclusion
 probabilities that a flight phase moves through the null space of two balancing
 constraints, documents and words, until all but two units of a bucket are 0 or
 1.  The units left over from all buckets fly again, level by level, until each
-source has at most two; a landing step decides those, together with a reserve of
-fourteen units, by trying all outcomes.
+source has at most two; a landing step decides those together with a reserve of a
+few hundred units.
 """
 
 from __future__ import annotations
@@ -25,8 +25,9 @@ from .common import shuffle_partitions, table, work_dir, written
 
 WORDS = r"[^\x20\x09-\x0D]+"
 _EPS = 1e-9
-#: Units of a source that its last flight leaves to the landing step.
-_RESERVE = 14
+#: Units of a source that its last flight leaves to the landing step, and those of
+#: which landing tries all outcomes.
+_RESERVE, _TRIED = 400, 14
 
 
 def target_sizes(sizes: dict, weights: dict, share: float, most: float) -> dict:
@@ -72,14 +73,31 @@ def fly(active: list[list], rng: random.Random) -> None:
 
 
 def land(units: list[list], rng: random.Random) -> None:
-    """Decide the last units, at most sixteen: of all outcomes the one whose words
-    and, less strictly, whose number are nearest to the expected."""
+    """Decide the last units: all but a few of every size are drawn one by one, the
+    largest first, and the words that a draw gives or takes are made up by the
+    chances of those to come; for the few all outcomes are tried, and the one whose
+    words and, less strictly, whose number are nearest to the expected is taken."""
+    units = sorted(units, key=lambda x: (-x[1], -x[0]))
+    few = {len(units) * i // _TRIED for i in range(_TRIED)} if len(units) > _TRIED else set()
+    units = [x for i, x in enumerate(units) if few and i not in few] + [x for i, x in enumerate(units) if not few or i in few]
+    owed = 0.0  # words that could not be made up yet
+    while len(units) > _TRIED:
+        x = units.pop(0)
+        p = x[0]
+        x[0] = int(rng.random() < p) if abs(owed) <= x[1] / 2 else int(owed > 0)
+        miss = owed + (p - x[0]) * x[1]
+        room = [((1 - u[0]) if miss > 0 else u[0]) for u in units]
+        total = sum(r * u[1] for r, u in zip(room, units, strict=True))
+        part = max(-1.0, min(1.0, miss / total)) if total else 0.0
+        owed = miss - part * total
+        for r, u in zip(room, units, strict=True):
+            u[0] = min(1.0, max(0.0, u[0] + r * part))
     if not units:
         return
     p, size = np.array([x[0] for x in units]), np.array([x[1] for x in units], dtype=float)
     mask = rng.randrange(1 << len(units))  # which of equally good outcomes comes first
     bits = ((np.arange(1 << len(units)) ^ mask)[:, None] >> np.arange(len(units))) & 1
-    miss = np.abs(bits @ size - p @ size) + 0.05 * size.mean() * np.abs(bits.sum(1) - p.sum())
+    miss = np.abs(bits @ size - p @ size - owed) + 0.05 * size.mean() * np.abs(bits.sum(1) - p.sum())
     for x, v in zip(units, bits[int(miss.argmin())], strict=True):
         x[0] = int(v)
 
@@ -146,7 +164,7 @@ def mix(docs: DataFrame, weights: dict | list, share: float = 1.5, most: float =
     so reruns agree.  An empty table gives an empty table.
 
     A source is flown in buckets of about ``bucket_rows`` units, each streamed
-    with at most seventeen units in memory, so neither a hot source nor a group of equal ids
+    with a few hundred units in memory at most, so neither a hot source nor a group of equal ids
     has to fit anywhere; the rows pass one shuffle without their texts.
     """
     spark = docs.sparkSession

@@ -21,7 +21,7 @@ _MOVE_BINS = 1024
 
 def propagate(nodes: DataFrame, hub: list[str], quota: list[int], rounds: int, path: str) -> DataFrame:
     """Move linked ``nodes`` (with ``hub`` columns and ``__label``) towards the
-    label most of their hub has, ties to the smallest label.
+    label most of their hub has; ties fall by hash, so that no shard is favoured.
 
     A round admits movers to a shard up to its free quota: proposals are summed
     by shard and by one of 1024 hash bins of their hubs, and a shard takes whole
@@ -31,8 +31,8 @@ def propagate(nodes: DataFrame, hub: list[str], quota: list[int], rounds: int, p
     k = len(quota)
     for turn in range(rounds):
         tally = nodes.groupBy(*hub, "__label").agg(F.count(F.lit(1)).alias("__n"))
-        best = tally.groupBy(*hub).agg(F.max(F.struct("__n", (-F.col("__label")).alias("__minus"))).alias("__b"))
-        best = best.select(*hub, (-F.col("__b.__minus")).alias("__want"), F.pmod(F.xxhash64(F.lit(turn), *hub), F.lit(_MOVE_BINS)).cast("int").alias("__bin"))
+        best = tally.groupBy(*hub).agg(F.max(F.struct("__n", F.xxhash64("__label", *hub).alias("__tie"), "__label")).alias("__b"))
+        best = best.select(*hub, F.col("__b.__label").alias("__want"), F.pmod(F.xxhash64(F.lit(turn), *hub), F.lit(_MOVE_BINS)).cast("int").alias("__bin"))
         asked = written(nodes.join(best, hub), f"{path}-{turn}-asked")
         sums = asked.groupBy("__want", "__bin", (F.col("__label") == F.col("__want")).alias("__stays")).agg(F.count(F.lit(1)).alias("n")).collect()
         labels = asked.groupBy("__label").agg(F.count(F.lit(1)).alias("n")).collect()

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, train_row, training_sample
+from .common import beside_text, table, train_row, training_sample
 from .textvec import Words, mix64, shingles, text_slices, words_of
 
 #: The bound of the training sample: documents of each label, characters of each.
@@ -223,7 +223,7 @@ def score(df: DataFrame, field: Field, text: str = "text", spans: bool = True) -
     ``spans`` are replaced.
     """
     keep = [c for c in df.columns if c not in (text, "score", "spans")]
-    rows = df.select(*keep, F.col(text).cast("string").alias("__text"))
+    rows = beside_text(df, keep, F.col(text))
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("p", T.DoubleType())]))
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("score", T.DoubleType()), *([T.StructField("spans", span)] if spans else [])])
     arrow_span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
