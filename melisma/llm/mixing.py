@@ -78,7 +78,7 @@ def land(units: list[list], rng: random.Random) -> None:
     chances of those to come; for the few all outcomes are tried, and the one whose
     words and, less strictly, whose number are nearest to the expected is taken."""
     units = sorted(units, key=lambda x: (-x[1], -x[0]))
-    few = {len(units) * i // _TRIED for i in range(_TRIED)} if len(units) > _TRIED else set()
+    few = {len(units) * (2 * i + 1) // (2 * _TRIED) for i in range(_TRIED)} if len(units) > _TRIED else set()
     units = [x for i, x in enumerate(units) if few and i not in few] + [x for i, x in enumerate(units) if not few or i in few]
     owed = 0.0  # words that could not be made up yet
     while len(units) > _TRIED:
@@ -97,7 +97,7 @@ def land(units: list[list], rng: random.Random) -> None:
     p, size = np.array([x[0] for x in units]), np.array([x[1] for x in units], dtype=float)
     mask = rng.randrange(1 << len(units))  # which of equally good outcomes comes first
     bits = ((np.arange(1 << len(units)) ^ mask)[:, None] >> np.arange(len(units))) & 1
-    miss = np.abs(bits @ size - p @ size - owed) + 0.05 * size.mean() * np.abs(bits.sum(1) - p.sum())
+    miss = np.abs(bits @ size - p @ size - owed) + 0.01 * size.mean() * np.abs(bits.sum(1) - p.sum())
     for x, v in zip(units, bits[int(miss.argmin())], strict=True):
         x[0] = int(v)
 
