@@ -56,6 +56,7 @@ def mark_outliers(df: DataFrame, by: list[str], y: str, method: str = "mean", fa
 def base_value(df: DataFrame, by: list[str], y: str, percent: float = 5.0, least: float | None = None) -> DataFrame:
     """``by, base``: the median of the values up to a low percentile."""
     low = df.groupBy(*by).agg(F.round(percentile(y, percent), 8).alias("__p"))
-    base = F.median(F.when(F.col(y) <= F.col("__p"), F.col(y)))
+    v = F.round(F.col(y), 8)
+    base = F.median(F.when(v <= F.col("__p"), v))
     out = df.join(low, by).groupBy(*by).agg(base.alias("base"))
     return out if least is None else out.withColumn("base", F.greatest("base", F.lit(least)))

@@ -15,10 +15,14 @@ def range_join(points: DataFrame, spans: DataFrame, by: list[str], t: str, on: s
     product of the sides.
     """
     spans = spans.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(on) / bin_width), F.floor(F.col(off) / bin_width))))
+    rest = [c for c in spans.columns if c not in [*by, "__bin"]]
+    spans = spans.select(*(F.col(c).alias(f"__s_{c}") for c in spans.columns))
     points = points.withColumn("__bin", F.floor(F.col(t) / bin_width))
-    held = [points[b] == spans[b] for b in [*by, "__bin"]] + [points[t] >= spans[on], points[t] <= spans[off]]
+    held = (F.col(t) >= F.col(f"__s_{on}")) & (F.col(t) <= F.col(f"__s_{off}"))
+    for c in [*by, "__bin"]:
+        held = held & (F.col(c) == F.col(f"__s_{c}"))
     joined = points.join(spans, held, how)
-    return joined.select(*(points[c] for c in points.columns if c != "__bin"), *(spans[c] for c in spans.columns if c not in [*by, "__bin"]))
+    return joined.select(*(c for c in points.columns if c != "__bin"), *(F.col(f"__s_{c}").alias(c) for c in rest))
 
 
 def link_parent(points: DataFrame, spans: DataFrame, by: list[str], key: str, t: str, on: str, off: str, idx: str, bin_width: float) -> DataFrame:

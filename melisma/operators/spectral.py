@@ -11,12 +11,28 @@ from pyspark.sql.window import Window
 from ..functions.scalar import safe_div
 
 
-def band_dct(df: DataFrame, by: list[str], i: str, y: str, rate: float, upper: float, lower: float = 0.0, drop_mean: bool = False) -> DataFrame:
-    """``by, k, f, c``: orthonormal DCT-II coefficients of the centred contour up to
+def bessel_i0(x: Column, terms: int = 20) -> Column:
+    """Modified Bessel function of order 0 by its power series (for ``x`` up to 10 or so)."""
+    out = F.lit(1.0)
+    for k in range(1, terms):
+        out = out + F.pow(x / 2, 2 * k) / float(math.factorial(k)) ** 2
+    return out
+
+
+def kaiser(k: Column, n: Column, beta: float) -> Column:
+    """Weight of sample ``k`` of ``n`` in a periodic Kaiser window."""
+    return bessel_i0(beta * F.sqrt(1 - F.pow(2 * k / n - 1, 2))) / bessel_i0(F.lit(float(beta)))
+
+
+def band_dct(df: DataFrame, by: list[str], i: str, y: str, rate: float, upper: float, lower: float = 0.0, drop_mean: bool = False, beta: float | None = None) -> DataFrame:
+    """``by, k, f, c``: orthonormal DCT-II coefficients of the contour, under a Kaiser
+    window if ``beta`` is given and then centred, up to
     a frequency; ``f = k + rate / 2n``.  Only the few coefficients in the band are
     summed, so a sample meets a handful of rows, not a full transform."""
     w = Window.partitionBy(*by)
-    rows = df.withColumn("__k", F.row_number().over(w.orderBy(i)) - 1).withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__y", F.col(y) - F.avg(y).over(w))
+    rows = df.withColumn("__k", F.row_number().over(w.orderBy(i)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
+    rows = rows.withColumn("__y", F.col(y) if beta is None else F.col(y) * kaiser(F.col("__k"), F.col("__n"), beta))
+    rows = rows.withColumn("__y", F.col("__y") - F.avg("__y").over(w))
     ks = F.explode(F.sequence(F.lit(1 if drop_mean else 0), F.lit(int(upper))))
     rows = rows.withColumn("k", ks).where(F.col("k") < F.col("__n"))
     cos = F.cos(F.lit(math.pi) * F.col("k") * (2 * F.col("__k") + 1) / (2 * F.col("__n")))
@@ -31,9 +47,9 @@ def spectral_moments(spec: DataFrame, by: list[str]) -> DataFrame:
     a, w = F.abs(F.col("c")), Window.partitionBy(*by)
     total = F.sum(a).over(w)
     rows = spec.withColumn("__a", a).withColumn("__t", total)
-    rows = rows.withColumn("__m1", F.sum(F.col("__a") * F.col("f")).over(w) / F.col("__t"))
-    rows = rows.withColumn("__m2", F.sum(F.col("__a") * F.pow(F.col("f") - F.col("__m1"), 2)).over(w) / F.col("__t"))
-    m3 = F.sum(F.col("__a") * F.pow(F.col("f") - F.col("__m2"), 3)) / F.max("__t")
+    rows = rows.withColumn("__m1", safe_div(F.sum(F.col("__a") * F.col("f")).over(w), F.col("__t")))
+    rows = rows.withColumn("__m2", safe_div(F.sum(F.col("__a") * F.pow(F.col("f") - F.col("__m1"), 2)).over(w), F.col("__t")))
+    m3 = safe_div(F.sum(F.col("__a") * F.pow(F.col("f") - F.col("__m2"), 3)), F.max("__t"))
     return rows.groupBy(*by).agg(F.max("__m1").alias("sm1"), F.max("__m2").alias("sm2"), m3.alias("sm3"), F.max_by("f", F.struct(F.col("__a"), -F.col("k"))).alias("f_max"))
 
 

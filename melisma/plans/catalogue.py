@@ -159,7 +159,7 @@ def savgol7(spark, d):
     return windows.savgol7(signal(spark, d), ["fi"], "i", "y")
 
 
-_BASE = _SIG + ", p AS (SELECT fi, round(quantile_cont(y, 0.05), 8) AS p FROM sig GROUP BY fi), base AS (SELECT fi, median(y) AS base FROM sig JOIN p USING (fi) WHERE y <= p.p GROUP BY fi)"
+_BASE = _SIG + ", p AS (SELECT fi, round(quantile_cont(y, 0.05), 8) AS p FROM sig GROUP BY fi), base AS (SELECT fi, median(round(y, 8)) AS base FROM sig JOIN p USING (fi) WHERE round(y, 8) <= p.p GROUP BY fi)"
 
 
 @query("fi:i base:d", f"WITH {_BASE} SELECT fi, base FROM base")
@@ -175,7 +175,7 @@ def semitone(spark, d):
 
 
 @query("label:s fi:i i:i st:d", f"""WITH {_SIG}, p AS (SELECT label, round(quantile_cont(y, 0.05), 8) AS p FROM sig GROUP BY label),
-base AS (SELECT label, greatest(median(y), 1) AS base FROM sig JOIN p USING (label) WHERE y <= p.p GROUP BY label)
+base AS (SELECT label, greatest(median(round(y, 8)), 1) AS base FROM sig JOIN p USING (label) WHERE round(y, 8) <= p.p GROUP BY label)
 SELECT label, fi, i, CASE WHEN y > 0 THEN 12 * log2(y / base) ELSE y - base END AS st FROM sig JOIN base USING (label)""")
 def group_semitone(spark, d):
     sig = signal(spark, d)
