@@ -38,6 +38,8 @@ CHUNK, RUN_ROWS = 1 << 22, 150_000
 #: Removed spans that may be broadcast in all; beyond it they are joined by shuffle.
 BROADCAST_SPANS = 4_000_000
 _MASK = (1 << 64) - 1
+#: The place of a row that only tells of an anchor.
+WITNESS = -(1 << 62)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -92,35 +94,51 @@ def _pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
 
 
 def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``h, ord, at`` of every anchor.  Anchors that a batch holds more than once are
+    known to be repeated: they go out as negative places under hashes of their own,
+    so that a very common one is dealt over all tasks, and one witness of it tells
+    the other batches."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
+        hashes, owners, places = [], [], []
         for row, shift, data, offsets in _pieces(batch.column(1)):
             text, low, high, place, h = anchors(data, offsets)
             at = place - offsets[text] + shift
-            packed = at << 14 | (place - low) << 7 | (place - high)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[row + text]), pa.array(packed)], names=["h", "ord", "at"])
+            hashes.append(h)
+            owners.append(ids[row + text])
+            places.append(at << 14 | (place - low) << 7 | (place - high))
+        if not hashes:
+            continue
+        h, owner, at = np.concatenate(hashes), np.concatenate(owners).astype(np.int64), np.concatenate(places)
+        keys, index, count = np.unique(h, return_inverse=True, return_counts=True)
+        sure = count[index] > 1
+        spread = mix64(owner[sure].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at[sure].view(np.uint64))
+        seen = keys[count > 1]
+        h = np.concatenate([h[~sure], spread, seen]).view(np.int64)
+        owner = np.concatenate([owner[~sure], owner[sure], np.zeros(len(seen), np.int64)])
+        at = np.concatenate([at[~sure], -1 - at[sure], np.full(len(seen), WITNESS)])
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(owner), pa.array(at)], names=["h", "ord", "at"])
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by ``h``, those whose ``h`` occurs more than once; holds one
-    batch and one row."""
-    last: tuple | None = None
-    last_out = False
+    """Of rows sorted by ``h``, those whose ``h`` occurs more than once and those
+    known to be repeated; holds one batch and one row."""
+    last: tuple | None = None  # the last row, if it isn't out yet
+    last_h = None
     for batch in batches:
         h, ids, at = (batch.column(i).to_numpy() for i in range(3))
         if not len(h):
             continue
         same = np.zeros(len(h), bool)
         same[1:] = h[1:] == h[:-1]
+        same[0] = last_h is not None and last_h == h[0]
         more = same.copy()
         more[:-1] |= same[1:]
-        keep_ids, keep_at = ids[more], at[more]
-        if last and last[0] == h[0]:
-            more[0] = True
-            keep_ids, keep_at = ids[more], at[more]
-            if not last_out:
-                keep_ids, keep_at = np.append(keep_ids, last[1]), np.append(keep_at, last[2])
-        last, last_out = (h[-1], ids[-1], at[-1]), bool(more[-1])
+        out = (more & (at >= 0)) | ((at < 0) & (at != WITNESS))
+        keep_ids, keep_at = ids[out], np.where(at[out] < 0, -1 - at[out], at[out])
+        if same[0] and last:
+            keep_ids, keep_at = np.append(keep_ids, last[0]), np.append(keep_at, last[1])
+        last_h, last = h[-1], None if out[-1] or at[-1] == WITNESS else (ids[-1], at[-1])
         if len(keep_ids):
             yield pa.RecordBatch.from_arrays([pa.array(keep_ids), pa.array(keep_at)], names=["ord", "at"])
 
