@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bound_batches, table
 from .textvec import Words, text_slices, words_of
 
 #: Words of half a passage; a benchmark text is cut into pieces of as many words
@@ -246,6 +246,7 @@ def leaks(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str =
     ``BLOCK_PIECES`` pieces, all of them against all documents.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = "doc_id bigint, item_id bigint, lcs_share double, answer_share double, cosine double"
     every = benchmark_pieces(bench, item_id, item_text)

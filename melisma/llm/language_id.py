@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import beside_text, table, train_row, training_sample
+from .common import beside_text, bound_batches, table, train_row, training_sample
 from .textvec import raw_bytes, text_slices
 
 WINDOW, HIDDEN = 64, 8
@@ -200,6 +200,7 @@ def identify(df: DataFrame, model: Model | None, text: str = "text") -> DataFram
     shuffle), so repeated rows, null ids and an empty table need no care;
     existing columns ``lang_pred`` and ``score`` are replaced.
     """
+    bound_batches(df.sparkSession)
     keep = [c for c in df.columns if c not in (text, "lang_pred", "score")]
     has = F.coalesce(F.col(text).cast("string").rlike(r"\p{L}"), F.lit(False))
     rows = beside_text(df, keep, F.when(has, F.col(text)))

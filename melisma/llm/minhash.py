@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, only_keys, table, work_dir, written
+from .common import bound_batches, drop_path, only_keys, table, work_dir, written
 from .graph import connected_components
 from .textvec import mix64, raw_bytes, shingles, text_slices, words_of
 
@@ -233,6 +233,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     of its blocks, so that no pair is lost and no task grows with the input.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     path = work_dir(spark, "near")
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     schema = rows.select("id", F.lit(0).cast("bigint").alias("k1"), F.lit(0).cast("bigint").alias("k2"), F.lit(0).cast("bigint").alias("n_bytes"), F.array(F.lit(0).cast("bigint")).alias("bands")).schema

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import only_keys, shuffle_partitions, small_enough, table, text_or_empty, work_dir, written
+from .common import bound_batches, only_keys, shuffle_partitions, small_enough, table, text_or_empty, work_dir, written
 from .textvec import mix64, raw_bytes, text_slices
 
 LENGTH, GRAM = 100, 32
@@ -428,6 +428,7 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     which each task has at most one row per different suffix.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     path = work_dir(spark, "suffix")
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), text_or_empty(text).alias("text"))
     facts = written(rows.select("id", F.xxhash64("text").alias("x"), F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").cast("bigint").alias("n")), f"{path}/facts")

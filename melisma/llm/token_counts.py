@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import beside_text, table
+from .common import beside_text, bound_batches, table
 
 #: A non-space character followed by the blank at which a new piece starts.
 _CUT = re.compile(r"\S(?=[ \n])")
@@ -97,6 +97,7 @@ def count_tokens(df: DataFrame, text: str = "text", vocabulary: str = "byte_bpe_
     columns named ``n_bytes`` or ``n_tokens``, which are replaced.  The plan has
     no shuffle: a hot source is only more rows of the scan.
     """
+    bound_batches(df.sparkSession)
     keep = [c for c in df.columns if c not in (text, "n_bytes", "n_tokens")]
     source = beside_text(df, keep, F.col(text))
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])

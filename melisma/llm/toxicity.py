@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import beside_text, table, train_row, training_sample
+from .common import beside_text, bound_batches, table, train_row, training_sample
 from .textvec import Words, mix64, shingles, text_slices, words_of
 
 #: The bound of the training sample: documents of each label, characters of each.
@@ -222,6 +222,7 @@ def score(df: DataFrame, field: Field, text: str = "text", spans: bool = True) -
     null ids and empty tables need no care.  Existing columns ``score`` and
     ``spans`` are replaced.
     """
+    bound_batches(df.sparkSession)
     keep = [c for c in df.columns if c not in (text, "score", "spans")]
     rows = beside_text(df, keep, F.col(text))
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("p", T.DoubleType())]))
