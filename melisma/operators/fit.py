@@ -80,11 +80,20 @@ def boundary_features(df: DataFrame, pair: list[str], t: str, y: str, side: str)
     joint = df.groupBy(*pair).agg(*line_fit(y, t)).withColumnsRenamed({"slope": "slope_ab", "icpt": "icpt_ab"})
     rows = df.join(sides, [*pair, side]).join(joint, pair)
     rows = rows.withColumn("__own", F.col("slope") * F.col(t) + F.col("icpt")).withColumn("__ab", F.col("slope_ab") * F.col(t) + F.col("icpt_ab"))
-    part = lambda k, c: F.when(F.col(side) == k, c)
+    gap = F.min(F.when(F.col(side) == 1, F.col(t))) - F.max(F.when(F.col(side) == 0, F.col(t)))
+    return rows.groupBy(*pair).agg(*boundary_measures(t, y, side), gap.alias("p"))
+
+
+def boundary_measures(t: str, y: str, side: str, shared: Column | None = None) -> list[Column]:
+    """Aggregates over samples that carry their side's line (``__own``, ``slope``)
+    and the joint one (``__ab``, ``slope_ab``); ``shared`` marks samples of side 0
+    that side 1 has too, which only count where a line's own ends and mean do."""
+    once = F.lit(True) if shared is None else ~shared
     own, ab, v = F.col("__own"), F.col("__ab"), F.col(y)
+    part = lambda k, c: F.when(F.col(side) == k, c)
     out = []
     for name, k in (("", None), ("_pre", 0), ("_post", 1)):
-        p = (lambda c: c) if k is None else (lambda c, k=k: part(k, c))
+        p = (lambda c: F.when(once, c)) if k is None else (lambda c, k=k: F.when(once & (F.col(side) == k), c))
         x, z, w = p(own), p(ab), p(v)
         out.append(F.sqrt(F.avg(F.pow(x - z, 2))).alias(f"rms{name}"))
         out.append(safe_div(F.sqrt(F.avg(F.pow(z - w, 2))), F.sqrt(F.avg(F.pow(x - w, 2)))).alias(f"rmsR{name}"))
@@ -92,17 +101,15 @@ def boundary_features(df: DataFrame, pair: list[str], t: str, y: str, side: str)
         n = F.count(w)
         out.append((aic(n, rss(z, w), 3) - aic(n, rss(x, w), 6 if k is None else 3)).alias(f"aicI{name}"))
     pre, post = (lambda c: F.max(part(0, c))), (lambda c: F.max(part(1, c)))
-    first_b, last_a = F.min_by(own, F.when(F.col(side) == 1, F.col(t))), F.max_by(own, F.when(F.col(side) == 0, F.col(t)))
-    out += [
-        (F.min(part(1, F.col(t))) - F.max(part(0, F.col(t)))).alias("p"),
+    first_b, last_a = F.min_by(own, part(1, F.col(t))), F.max_by(own, part(0, F.col(t)))
+    return out + [
         (first_b - last_a).alias("r"),
-        (F.min_by(own, F.when(F.col(side) == 0, F.col(t))) - first_b).alias("d_o"),
+        (F.min_by(own, part(0, F.col(t))) - first_b).alias("d_o"),
         (F.avg(part(0, own)) - F.avg(part(1, own))).alias("d_m"),
         (pre(F.col("slope")) - post(F.col("slope"))).alias("sd_prepost"),
         (F.max("slope_ab") - pre(F.col("slope"))).alias("sd_pre"),
         (F.max("slope_ab") - post(F.col("slope"))).alias("sd_post"),
     ]
-    return rows.groupBy(*pair).agg(*out)
 
 
 def gestalt(df: DataFrame, by: list[str], order: str, local: str, parent: str) -> DataFrame:

@@ -92,10 +92,15 @@ def registers(contour: DataFrame, segments: DataFrame, window: float = 0.1, p_lo
     # Windows reach over a segment's ends: the medians are the contour's.
     medians = windows.register_medians(contour, KEY, "i", "y", half, p_low, p_high)
     rows = slices(medians, segments).withColumn("x", fit.unit_time(by, "i"))
+    return repair_lines(rows, by)
+
+
+def repair_lines(rows: DataFrame, by: list[str], order: str = "i") -> DataFrame:
+    """Medians of the wrong side of the midline over ``x`` filled in, and the range."""
     mid = rows.groupBy(*by).agg(*fit.line_fit("ml", "x"))
     rows = rows.join(mid, by).withColumn("__mid", F.col("slope") * F.col("x") + F.col("icpt")).drop("slope", "icpt")
     for c, wrong in (("bl", F.col("bl") > F.col("__mid")), ("tl", F.col("tl") < F.col("__mid"))):
-        rows = fill.linear_fill(rows, by, "i", c, wrong, f"__{c}").withColumn(c, F.coalesce(f"__{c}", c)).drop(f"__{c}")
+        rows = fill.linear_fill(rows, by, order, c, wrong, f"__{c}").withColumn(c, F.coalesce(f"__{c}", c)).drop(f"__{c}")
     return rows.withColumn("rng", F.col("tl") - F.col("bl")).drop("__mid")
 
 
@@ -148,6 +153,126 @@ def local_shapes(contour: DataFrame, segments: DataFrame, parents: DataFrame, or
     return out
 
 
+#: Measures of a boundary, per window and register.
+BOUNDARY = ["p", "r", "d_o", "d_m", "sd_prepost", "sd_pre", "sd_post", *(f"{m}{k}" for m in ("rms", "corrD", "rmsR", "aicI") for k in ("", "_pre", "_post"))]
+WINDOWS = ["std", "win", "trend"]
+
+
+def boundary_sides(segments: DataFrame, chunks: DataFrame, norm: float = 1.0) -> DataFrame:
+    """``fi, ci, si, win, side, on, off, p``: what lies before (``side`` 0) and after
+    the end of each segment (``fi, ci, si, on, off``) that another follows.
+
+    ``std`` compares the two segments; ``win`` half of ``norm`` seconds on either side,
+    inside the chunk; ``trend`` all of the chunk before and all after.  A segment
+    outside every chunk (``fi, ci, c_on, c_off``) is a chunk to itself.
+    """
+    center = segments.withColumn("__c", (F.col("on") + F.col("off")) / 2)
+    held = interval.range_join(center, chunks.select(*KEY, "c_on", "c_off"), KEY, "__c", "c_on", "c_off", 60.0)
+    held = held.groupBy(*KEY, "si", "on", "off").agg(F.min("c_on").alias("c_on"), F.min("c_off").alias("c_off"))
+    held = held.withColumn("c_on", F.coalesce("c_on", "on")).withColumn("c_off", F.coalesce("c_off", "off"))
+    w = Window.partitionBy(*KEY).orderBy("on", "si")
+    rows = held.withColumns({"__on": F.lead("on").over(w), "__off": F.lead("off").over(w), "__end": F.lead("c_off").over(w)}).where("__on IS NOT NULL")
+    on, off, after = F.col("on"), F.col("off"), F.col("__on")
+    spans = {
+        "std": ((on, off), (after, F.col("__off"))),
+        "win": ((F.greatest(off - norm / 2, F.col("c_on")), off), (after, F.least(after + norm / 2, F.col("__end")))),
+        "trend": ((F.col("c_on"), off), (after, F.col("__end"))),
+    }
+    listed = [F.struct(F.lit(n).alias("win"), F.lit(k).alias("side"), a.alias("on"), b.alias("off")) for n, sides in spans.items() for k, (a, b) in enumerate(sides)]
+    return rows.select(*KEY, "si", (after - off).alias("p"), F.explode(F.array(*listed)).alias("v")).select(*KEY, "si", "p", "v.*").where("off >= on")
+
+
+def boundaries(contour: DataFrame, segments: DataFrame, chunks: DataFrame, window: float = 0.1, p_low: float = 10.0, p_high: float = 90.0, norm: float = 1.0) -> DataFrame:
+    """One row per boundary with ``<window>_<register>_<measure>`` for the three windows
+    of :func:`boundary_sides`, four register lines and the measures in ``BOUNDARY``.
+
+    Lines are fitted to each side and to both together, time running from 0 to 1
+    over the samples of each, pauses left out.  The last segment of a recording
+    has no row; a side without samples makes its window's values null.
+    """
+    pair, own = [*KEY, "si", "win"], [*KEY, "si", "win", "side"]
+    half = max(1, int(round(window * RATE)) // 2)
+    medians = windows.register_medians(contour, KEY, "i", "y", half, p_low, p_high)
+    rows = slices(medians, boundary_sides(segments, chunks, norm)).drop("y", "base")
+    rows = rows.withColumn("__both", F.size(F.collect_set("side").over(Window.partitionBy(*pair)))).where("__both = 2").drop("__both")
+    first_b = F.min(F.when(F.col("side") == 1, F.col("i"))).over(Window.partitionBy(*pair))
+    rows = rows.withColumn("shared", (F.col("side") == 0) & (F.col("i") >= first_b))
+    rank = F.row_number().over(Window.partitionBy(*pair, "shared").orderBy("i"))
+    rows = rows.withColumn("__k", F.when(~F.col("shared"), rank))
+    once = rows.where(~F.col("shared")).withColumn("x", fit.unit_time(pair, "__k"))
+    lines = lambda side: [c.alias(f"{r}_{n}") for r in fn.REGISTERS for c, n in zip(fit.line_fit(r, "x"), (f"slope{side}", f"icpt{side}"), strict=True)]
+    joint = repair_lines(once, pair, "__k").groupBy(*pair).agg(*lines("_ab"))
+    rows = repair_lines(rows.withColumn("x", fit.unit_time(own, "i")), own)
+    rows = rows.join(rows.groupBy(*own).agg(*lines("")), own).join(joint, pair)
+    last = F.max("__k").over(Window.partitionBy(*pair))
+    at = F.when(last > 1, (F.col("__k") - 1) / (last - 1)).otherwise(0.0)
+    rows = rows.withColumn("__at", at).withColumn("i", F.col("i").cast("double"))
+    reg = [F.struct(F.lit(r).alias("reg"), F.col(r).alias("y"), *(F.col(f"{r}_{c}").alias(c) for c in ("slope", "icpt", "slope_ab", "icpt_ab"))) for r in fn.REGISTERS]
+    long = rows.select(*pair, "side", "p", "i", "x", "shared", "__at", F.explode(F.array(*reg)).alias("v")).select("*", "v.*")
+    long = long.withColumn("__own", F.col("slope") * F.col("x") + F.col("icpt")).withColumn("__ab", F.col("slope_ab") * F.col("__at") + F.col("icpt_ab"))
+    found = long.groupBy(*pair, "reg").agg(*fit.boundary_measures("i", "y", "side", F.col("shared")), F.max("p").alias("p"))
+    pick = lambda n, r, m: F.max(F.when((F.col("win") == n) & (F.col("reg") == r), F.col(m))).alias(f"{n}_{r}_{m}")
+    return found.groupBy(*KEY, "si").agg(*(pick(n, r, m) for n in WINDOWS for r in fn.REGISTERS for m in BOUNDARY))
+
+
+def energy_contour(samples: DataFrame, rate: int, hop: float = 0.01, width: float = 0.05) -> DataFrame:
+    """``fi, ci, i, t, y, base``: energy under a Hamming window, from samples ``fi, ci, i, x``,
+    on the contour's grid.  Only whole windows count."""
+    step, size = round(hop * rate), round(width * rate)
+    ends = samples.groupBy(*KEY).agg((F.max("i") + 1).alias("__n"))
+    frames = windows.frame_energy(samples, KEY, "i", "x", step, size).join(ends, KEY).where(F.col("frame") * step < F.col("__n") - size)
+    return frames.select(*KEY, F.col("frame").cast("int").alias("i"), ((F.col("frame") + 1) * hop).alias("t"), F.col("energy").alias("y"), F.lit(1.0).alias("base"))
+
+
+def spectral_balance(samples: DataFrame, by: list[str], alpha: float = 0.95) -> DataFrame:
+    """``by, sb, rms``: level in dB that pre-emphasis adds to the samples (``i, x``) of
+    each group, and their RMS.  Silence has no balance."""
+    rows = samples.withColumn("__p", windows.pre_emphasis("x", by, "i", alpha))
+    rms = lambda c: F.sqrt(F.avg(F.pow(F.col(c), 2)))
+    ratio = fn.safe_div(rms("__p"), rms("x"))
+    return rows.groupBy(*by).agg(F.when(ratio > 0, 20 * F.log10(ratio)).alias("sb"), rms("x").alias("rms"))
+
+
+def energy_features(samples: DataFrame, rate: int, contour: DataFrame, segments: DataFrame, hop: float = 0.01, width: float = 0.05) -> DataFrame:
+    """Per segment (``on, off, nrm_on, nrm_off``): the general features of the energy,
+    RMS of the signal and against that of the normalization window, spectral
+    balance, and the correlation of energy with f0."""
+    by = [*KEY, "si"]
+    frames = energy_contour(samples, rate, hop, width)
+    timed = samples.withColumn("__t", F.col("i") / rate)
+    held = lambda on, off: interval.range_join(timed, segments.select(*KEY, "si", on, off), KEY, "__t", on, off, 1.0, "inner")
+    balance = spectral_balance(held("on", "off"), by)
+    around = held("nrm_on", "nrm_off").groupBy(*by).agg(F.sqrt(F.avg(F.pow("x", F.lit(2)))).alias("__around"))
+    both = slices(frames, segments).join(contour.select(*KEY, "i", F.col("y").alias("__f0")), [*KEY, "i"])
+    corr = both.groupBy(*by).agg(fn.guarded_corr("y", "__f0").alias("r_en_f0"))
+    out = general(frames, segments).join(balance, by, "left").join(around, by, "left").join(corr, by, "left")
+    return out.withColumn("rms_nrm", F.col("rms") / F.when(F.col("__around") > 0, F.col("__around")).otherwise(1.0)).drop("__around")
+
+
+def summary(tables: dict[str, DataFrame], tier: str | None = None) -> DataFrame:
+    """One row per recording: ``<set>_<feature>_<stat>`` with mean, median, deviation and
+    interquartile range of each number in each segment table, the value itself
+    for tables of whole files (names ending in ``_file``), and the entropy in bits of
+    a table's ``class``.  A ``tier`` becomes part of the names.  A recording that
+    some table doesn't have keeps its row, with nulls."""
+    out = None
+    for name, df in sorted(tables.items()):
+        numbers = [f.name for f in df.schema if f.dataType.typeName() in ("double", "float", "integer", "long") and f.name not in (*KEY, "si", "gi", "n", "class")]
+        stem = name.removesuffix("_file") if name.endswith("_file") else "_".join(filter(None, (name, tier)))
+        if name.endswith("_file"):
+            cells = [F.first(c).alias(f"{stem}_{c}") for c in numbers]
+        else:
+            kinds = {"m": F.avg, "med": F.median, "sd": F.stddev_pop, "iqr": fn.iqr}
+            cells = [f(c).alias(f"{stem}_{c}_{k}") for c in numbers for k, f in kinds.items()]
+        part = df.groupBy(*KEY).agg(F.count(F.lit(1)).alias(f"{name}_n"), *cells)
+        if "class" in df.columns:
+            part = part.join(stats.entropy(df, KEY, "class").withColumnRenamed("entropy", f"{stem}_class_h"), KEY, "left")
+        out = part if out is None else out.join(part, KEY, "full")
+    if out is None:
+        raise ValueError("no tables to sum up")
+    return out
+
+
 def rhythm(contour: DataFrame, segments: DataFrame, upper: float = 10.0, drop_mean: bool = True, beta: float | None = 1.0) -> DataFrame:
     """Spectral moments and the strongest frequency of each segment's contour."""
     by = [*KEY, "si"]
