@@ -249,24 +249,32 @@ def energy_features(samples: DataFrame, rate: int, contour: DataFrame, segments:
     return out.withColumn("rms_nrm", F.col("rms") / F.when(F.col("__around") > 0, F.col("__around")).otherwise(1.0)).drop("__around")
 
 
-def summary(tables: dict[str, DataFrame], tier: str | None = None) -> DataFrame:
+def summary(tables: dict[str, DataFrame], tiers: dict[str, list[str]] | None = None) -> DataFrame:
     """One row per recording: ``<set>_<feature>_<stat>`` with mean, median, deviation and
-    interquartile range of each number in each segment table, the value itself
-    for tables of whole files (names ending in ``_file``), and the entropy in bits of
-    a table's ``class``.  A ``tier`` becomes part of the names.  A recording that
-    some table doesn't have keeps its row, with nulls."""
+    interquartile range of each number in each segment table, ``<set>_file_<feature>``
+    with the value itself for tables of whole files (names ending in ``_file``), and
+    the entropy in bits of a table's ``class``.  For a table with ``tiers`` (values of
+    its column ``tier``) there are such columns per tier, named ``<set>_<tier>_...``.  A
+    recording that some table doesn't have keeps its row, with nulls."""
     out = None
     for name, df in sorted(tables.items()):
         numbers = [f.name for f in df.schema if f.dataType.typeName() in ("double", "float", "integer", "long") and f.name not in (*KEY, "si", "gi", "n", "class")]
-        stem = name.removesuffix("_file") if name.endswith("_file") else "_".join(filter(None, (name, tier)))
+        count = F.count(F.lit(1)).alias(f"{name}_n")
         if name.endswith("_file"):
-            cells = [F.first(c).alias(f"{stem}_{c}") for c in numbers]
+            part = df.groupBy(*KEY).agg(count, *(F.first(c).alias(f"{name}_{c}") for c in numbers))
         else:
-            kinds = {"m": F.avg, "med": F.median, "sd": F.stddev_pop, "iqr": fn.iqr}
-            cells = [f(c).alias(f"{stem}_{c}_{k}") for c in numbers for k, f in kinds.items()]
-        part = df.groupBy(*KEY).agg(F.count(F.lit(1)).alias(f"{name}_n"), *cells)
+            # Long form first: a wide table would make as many percentile buffers as cells.
+            names = (tiers or {}).get(name)
+            by = F.concat(F.lit(f"{name}_"), F.col("tier"), F.lit("_")) if names else F.lit(f"{name}_")
+            long = stats.summary_long(df.select(*KEY, by.alias("__by"), *(F.col(c).cast("double") for c in numbers)), [*KEY, "__by"], numbers)
+            kinds = ["m", "med", "sd", "iqr"]
+            cells = F.explode(F.array(*(F.struct(F.concat("__by", "feat", F.lit(f"_{k}")).alias("key"), F.col(k).alias("value")) for k in kinds)))
+            rows = long.select(*KEY, cells.alias("__c")).groupBy(*KEY).agg(F.map_from_entries(F.collect_list("__c")).alias("__m"))
+            keys = [f"{name}_{t}{c}_{k}" for t in ([f"{t}_" for t in names] if names else [""]) for c in numbers for k in kinds]
+            rows = rows.select(*KEY, *(F.col("__m")[k].alias(k) for k in keys))
+            part = df.groupBy(*KEY).agg(count).join(rows, KEY, "left")
         if "class" in df.columns:
-            part = part.join(stats.entropy(df, KEY, "class").withColumnRenamed("entropy", f"{stem}_class_h"), KEY, "left")
+            part = part.join(stats.entropy(df, KEY, "class").withColumnRenamed("entropy", f"{name}_class_h"), KEY, "left")
         out = part if out is None else out.join(part, KEY, "full")
     if out is None:
         raise ValueError("no tables to sum up")

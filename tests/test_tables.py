@@ -100,12 +100,12 @@ def test_silence_has_no_balance(spark):
 
 
 def test_summary(spark):
-    shapes = spark.createDataFrame([(0, 0, 0, 1.0, 0), (0, 0, 1, 3.0, 1), (1, 0, 0, 5.0, 1)], "fi int, ci int, si int, c0 double, class int")
+    shapes = spark.createDataFrame([(0, 0, 0, 1.0, 0), (0, 0, 1, 3.0, 1), (1, 0, 0, 5.0, 1)], "fi int, ci int, si int, c0 double, class int").withColumn("tier", F.lit("ACC"))
     files = spark.createDataFrame([(0, 0, 80.0), (2, 0, 90.0)], "fi int, ci int, bv double")
-    rows = {r["fi"]: r for r in prosody.summary({"loc": shapes, "gnl_f0_file": files}, "ACC").collect()}
+    rows = {r["fi"]: r for r in prosody.summary({"loc": shapes, "gnl_f0_file": files}, {"loc": ["ACC", "SYL"]}).collect()}
     assert sorted(rows) == [0, 1, 2]
-    assert (rows[0]["loc_ACC_c0_m"], rows[0]["loc_ACC_c0_sd"], rows[0]["loc_ACC_class_h"], rows[0]["gnl_f0_bv"]) == (2.0, 1.0, 1.0, 80.0)
-    assert rows[1]["loc_ACC_class_h"] == 0.0 and rows[1]["gnl_f0_bv"] is None
-    assert rows[2]["loc_ACC_c0_m"] is None and rows[2]["gnl_f0_bv"] == 90.0
+    assert (rows[0]["loc_ACC_c0_m"], rows[0]["loc_ACC_c0_sd"], rows[0]["loc_class_h"], rows[0]["gnl_f0_file_bv"]) == (2.0, 1.0, 1.0, 80.0)
+    assert rows[1]["loc_class_h"] == 0.0 and rows[1]["loc_SYL_c0_m"] is None and rows[1]["gnl_f0_file_bv"] is None
+    assert rows[2]["loc_ACC_c0_m"] is None and rows[2]["gnl_f0_file_bv"] == 90.0
     with pytest.raises(ValueError):
         prosody.summary({})
