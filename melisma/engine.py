@@ -72,8 +72,13 @@ class Corpus:
     def pulses(self) -> DataFrame:
         return self._numbered(sources.read_pulses(self.spark, *self._where("pulse")))
 
-    def samples(self) -> DataFrame:
-        return self._numbered(audio.samples(audio.read_wav(self.spark, *self._where("aud")), center=True))
+    def samples(self) -> tuple[DataFrame, int]:
+        """``fi, ci, i, x`` and the sample rate, which all audio must share."""
+        blocks = audio.read_wav(self.spark, *self._where("aud"))
+        rates = sorted(r["rate"] for r in blocks.select("rate").distinct().limit(2).collect())
+        if len(rates) != 1:
+            raise ValueError(f"energy needs audio of one sample rate, found {rates or 'none'}")
+        return self._numbered(audio.samples(blocks, center=True)).select(*KEY, "i", "x"), rates[0]
 
 
 def _union(tables) -> DataFrame:
@@ -161,9 +166,7 @@ def process(spark: SparkSession, settings: dict | str) -> dict[str, DataFrame]:
         rates = [(n, corpus.tier(n)) for n in fs["rhy_f0"]["tier_rate"]]
         out["rhy_f0"] = saved(_per_tier(conf, "rhy_f0", lambda n: _rhythm(contour, corpus.tier(n), styl["rhy_f0"], rates)), "rhy_f0")
     if on["do_styl_gnl_en"] or on["do_styl_rhy_en"]:
-        sound = corpus.samples()
-        rate = int(sound.select("rate").first()["rate"])
-        sound = sound.select(*KEY, "i", "x")
+        sound, rate = corpus.samples()
         if on["do_styl_gnl_en"]:
             part = styl["gnl_en"]
             out["gnl_en"] = saved(_per_tier(conf, "gnl_en", lambda n: prosody.energy_features(sound, rate, contour, corpus.windows(n), part["sts"], part["win"])), "gnl_en")

@@ -1,8 +1,10 @@
 """Settings to tables, against published values of one recording."""
 
 import json
+import wave
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 from melisma import config, engine
@@ -52,3 +54,20 @@ def test_process(spark, tmp_path):
     written = {p.name for p in Path(tmp_path).iterdir()}
     assert written == {f"t.{n}.{e}" for n in rows for e in ("csv", "R")}
     assert spark.read.csv(str(tmp_path / "t.loc.csv"), header=True).count() == 6
+
+
+def test_energy_stage(spark, tmp_path):
+    rate, place = 1000, {"dir": FIXTURES}
+    x = np.sin(2 * np.pi * 50 * np.arange(4600) / rate) * np.linspace(0.2, 0.9, 4600)
+    with wave.open(str(tmp_path / "dialogId_turnId_spkId.wav"), "wb") as w:
+        w.setnchannels(1), w.setsampwidth(2), w.setframerate(rate)
+        w.writeframes((x * 32767).astype("<i2").tobytes())
+    fs = {"f0": place, "annot": place, "aud": {"dir": str(tmp_path)}, "gnl_en": {"tier": ["ACC"]}, "label": {"pau": "<p:>"}}
+    rows = sorted(engine.process(spark, {"navigate": {"do_styl_gnl_en": True}, "fsys": fs, "preproc": {"point_win": 0.2}})["gnl_en"].collect(), key=lambda r: r["si"])
+    assert len(rows) == 6
+    # The tone grows louder, and its balance is that of 50 Hz at this rate.
+    assert [r["rms"] for r in rows] == sorted(r["rms"] for r in rows)
+    want = 20 * np.log10(np.sqrt(1 + 0.95**2 - 2 * 0.95 * np.cos(2 * np.pi * 50 / rate)))
+    assert all(r["sb"] == pytest.approx(want, abs=0.3) for r in rows)
+    with pytest.raises(ValueError):
+        engine.process(spark, {"navigate": {"do_styl_gnl_en": True}, "fsys": {**fs, "aud": {"dir": FIXTURES}}})
