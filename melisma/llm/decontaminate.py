@@ -2,7 +2,8 @@
 
 Benchmark passages are TF-IDF rows over the words they use, with document
 frequencies counted over the whole corpus.  A distributed randomised SVD of these
-rows gives the latent space.  Every passage of every document (blocks of words,
+rows gives the latent space, one for each block of no more pieces than dimensions,
+so that no piece loses weight in it.  Every passage of every document (blocks of words,
 two by two, so that neighbours overlap by half) is projected into it and compared
 with the benchmark by cosine.  Candidates are then checked by the longest common
 subsequence of words and, for paraphrases, by the words of the answer.
@@ -32,20 +33,20 @@ COSINE, COVER = 0.3, 0.4
 #: A piece is found if its common subsequence with the passage has this share of
 #: its words, or the lower share and the answer is there too.
 VERBATIM, PARAPHRASE, ANSWER, ANSWER_WORDS = 0.7, 0.5, 0.8, 8
-#: Pieces of the benchmark that one search takes at a time.
-BLOCK_PIECES = 20_000
+#: Values of the blocks' bases (64 MB) that one search takes at a time.
+SEARCH_VALUES = 8_000_000
 
 
 @dataclass
 class Pieces:
-    """The benchmark's pieces, as they go to the tasks."""
+    """The benchmark's pieces, or a block of them."""
 
     item: np.ndarray  # item id of each piece
     words: list[np.ndarray]  # word hashes in order
     vocab: np.ndarray  # sorted hashes of all words
     idf: np.ndarray  # of each
-    latent: np.ndarray | None = None  # pieces x RANK
-    basis: np.ndarray | None = None  # vocabulary x RANK
+    latent: np.ndarray | None = None  # pieces x rank
+    basis: np.ndarray | None = None  # vocabulary x rank
 
 
 def benchmark_pieces(bench: DataFrame, item_id: str, text: str) -> Pieces:
@@ -169,49 +170,67 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
-def _search(pieces: Pieces):
-    rows = _rows(pieces.words, pieces.vocab, pieces.idf)
-    weight2 = pieces.idf**2
-    norm2 = np.array([(w * w).sum() for _, w in rows])
-    latent_norm = np.linalg.norm(pieces.latent, axis=1)
-    unit = pieces.latent / np.maximum(latent_norm, 1e-12)[:, None]
-    # By Cauchy-Schwarz a passage covers no piece if its own weight is below this.
-    least = COVER * norm2.min(initial=np.inf) * 0.999
-    projected = pieces.idf[:, None] * pieces.basis
-    ordered = [x.view(np.int64).tolist() for x in pieces.words]
+class _Block:
+    """What a search needs of a block of pieces, as it goes to the tasks."""
 
-    def passages(w: Words, at: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    def __init__(self, pieces: Pieces) -> None:
+        rows = _rows(pieces.words, pieces.vocab, pieces.idf)
+        self.item, self.vocab = pieces.item, pieces.vocab
+        self.weight2 = pieces.idf**2
+        self.norm2 = np.array([(w * w).sum() for _, w in rows])
+        self.latent_norm = np.linalg.norm(pieces.latent, axis=1)
+        self.unit = pieces.latent / np.maximum(self.latent_norm, 1e-12)[:, None]
+        # By Cauchy-Schwarz a passage covers no piece if its own weight is below this.
+        self.least = COVER * self.norm2.min(initial=np.inf) * 0.999
+        self.projected = pieces.idf[:, None] * pieces.basis
+        self.ordered = [x.view(np.int64).tolist() for x in pieces.words]
+
+    def passages(self, w: Words, at: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
         """Text, first word and vocabulary places of each passage heavy enough."""
         of = np.searchsorted(w.first, at, "right") - 1
         half = (at - w.first[of]) // HALF
         key = of.astype(np.int64) << 32 | half
         keys, start = np.unique(key, return_index=True)
         end = np.append(start[1:], len(key))
-        mass = np.add.reduceat(weight2[place], start) if len(start) else np.zeros(0)
+        mass = np.add.reduceat(self.weight2[place], start) if len(start) else np.zeros(0)
         for i, k in enumerate(keys.tolist()):
             j = i + 1 if i + 1 < len(keys) and keys[i + 1] == k + 1 else i
             alone = i == 0 or keys[i - 1] != k - 1
             if j == i and not alone:
                 continue  # the passage before has this half
-            if mass[i] + (mass[j] if j > i else 0.0) >= least:
+            if mass[i] + (mass[j] if j > i else 0.0) >= self.least:
                 yield k >> 32, k & 0xFFFFFFFF, np.unique(place[start[i] : end[j]])
 
+    def candidates(self, w: Words, at: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+        """Text, first half, piece and cosine of passages near a piece."""
+        heavy = list(self.passages(w, at, place))
+        for c in range(0, len(heavy), 512):
+            some = heavy[c : c + 512]
+            mine = np.stack([self.projected[p].sum(0) for _, _, p in some])
+            dots = mine @ self.unit.T
+            cos = dots / np.maximum(np.linalg.norm(mine, axis=1), 1e-12)[:, None]
+            cover = dots * self.latent_norm / self.norm2
+            for i, k in zip(*np.nonzero((cos >= COSINE) & (cover >= COVER)), strict=True):
+                yield some[i][0], some[i][1], k, float(cos[i, k])
+
+
+def _search(blocks: list[_Block]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maybe = _bitmap(pieces.vocab)
+        vocab = np.unique(np.concatenate([block.vocab for block in blocks]))
+        maybe, inside = _bitmap(vocab), []
+        for block in blocks:
+            own = np.full(len(vocab), -1, np.int64)
+            own[np.searchsorted(vocab, block.vocab)] = np.arange(len(block.vocab))
+            inside.append(own)
         for batch in batches:
             for a, b in text_slices(batch.column(1)):
                 w = words_of(batch.column(1).slice(a, b - a))
                 found: dict[tuple[int, int], tuple] = {}
-                heavy = list(passages(w, *_places(w, pieces.vocab, maybe)))
-                for c in range(0, len(heavy), 512):
-                    some = heavy[c : c + 512]
-                    mine = np.stack([projected[p].sum(0) for _, _, p in some])
-                    dots = mine @ unit.T
-                    cos = dots / np.maximum(np.linalg.norm(mine, axis=1), 1e-12)[:, None]
-                    cover = dots * latent_norm / norm2
-                    for i, k in zip(*np.nonzero((cos >= COSINE) & (cover >= COVER)), strict=True):
-                        text, half, _ = some[i]
-                        piece = ordered[k]
+                at, place = _places(w, vocab, maybe)
+                for block, own in zip(blocks, inside, strict=True):
+                    mine = own[place] >= 0
+                    for text, half, k, cos in block.candidates(w, at[mine], own[place[mine]]):
+                        piece = block.ordered[k]
                         # A piece may begin before the passage or end after it.
                         low = max(int(w.first[text]), int(w.first[text]) + half * HALF - len(piece))
                         high = min(int(w.first[text + 1]), int(w.first[text]) + (half + 2) * HALF + len(piece))
@@ -220,8 +239,8 @@ def _search(pieces: Pieces):
                         answer = piece[-ANSWER_WORDS:]
                         said = common_subsequence(answer, here) / len(answer)
                         if share >= VERBATIM or (share >= PARAPHRASE and said >= ANSWER):
-                            key = (text, int(pieces.item[k]))
-                            found[key] = max(found.get(key, (0.0, 0.0, 0.0)), (share, said, float(cos[i, k])))
+                            key = (text, int(block.item[k]))
+                            found[key] = max(found.get(key, (0.0, 0.0, 0.0)), (share, said, cos))
                 ids = batch.column(0).slice(a, b - a)
                 keys = list(found)
                 yield pa.RecordBatch.from_arrays(
@@ -243,7 +262,8 @@ def leaks(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str =
 
     Two passes over the texts without a shuffle of them: one counts document
     frequencies, one searches.  The benchmark goes to the tasks in blocks of
-    ``BLOCK_PIECES`` pieces, all of them against all documents.
+    ``RANK`` pieces, all of them against all documents, and a search takes as many
+    blocks as have ``SEARCH_VALUES`` values in their bases.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -255,14 +275,19 @@ def leaks(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str =
         return out
     df, n = document_frequencies(rows.select("text"), every.vocab)
     every.idf = np.log((n + 1) / (df + 1)) + 1e-3
-    results = []
-    for i in range(0, len(every.words), BLOCK_PIECES):
-        words = every.words[i : i + BLOCK_PIECES]
+    searches, values = [[]], 0
+    for i in range(0, len(every.words), RANK):
+        words = every.words[i : i + RANK]
         vocab = np.unique(np.concatenate(words))
-        part = Pieces(every.item[i : i + BLOCK_PIECES], words, vocab, every.idf[np.searchsorted(every.vocab, vocab)])
+        part = Pieces(every.item[i : i + RANK], words, vocab, every.idf[np.searchsorted(every.vocab, vocab)])
         part.basis = randomised_svd(spark, part)
         part.latent = np.stack([weight @ part.basis[place] for place, weight in _rows(words, vocab, part.idf)])
-        results.append(rows.mapInArrow(_search(part), schema))
+        if searches[-1] and values + part.basis.size > SEARCH_VALUES:
+            searches.append([])
+            values = 0
+        searches[-1].append(_Block(part))
+        values += part.basis.size
+    results = [rows.mapInArrow(_search(blocks), schema) for blocks in searches]
     out = results[0]
     for more in results[1:]:
         out = out.unionByName(more)

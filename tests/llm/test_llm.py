@@ -356,6 +356,18 @@ def test_decontamination(spark):
     assert decontaminate.leaks(docs_of(spark, rows), bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n, values", [(2000, 8_000_000), (600, 1)])
+def test_decontamination_of_many_items(spark, monkeypatch, n, values):
+    """Far more pieces than the latent space has dimensions: every copy is found."""
+    monkeypatch.setattr(decontaminate, "SEARCH_VALUES", values, raising=False)
+    items = [words(15 + i % 45, 10_000 + i, 3000) for i in range(n)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    rows = [(i, f"{words(i % 70, 20_000 + i, 3000)} {x} {words(i % 50, 30_000 + i, 3000)}", "en", "a") for i, x in enumerate(items)]
+    rows += [(5000 + i, words(80, 40_000 + i, 3000), "en", "a") for i in range(300)]
+    got = decontaminate.leaks(docs_of(spark, rows), bench)
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(i, i) for i in range(len(items))}
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(50):
