@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import math
+import warnings
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import euclid, iqr, percentile
+from ..storage import saved
 
-#: Vectors beyond this number are clustered on a sample of it by hash of their id.
-MEAN_SHIFT_ROWS = 1000
+#: The bandwidth of mean shift is estimated on so many vectors, by hash of their id.
+BANDWIDTH_ROWS = 1000
+#: Values of the modes that one pass over the rows takes.
+PASS_VALUES = 400_000
 
 
 def long_vectors(df: DataFrame, key: str, vector: str, keep: list[str] | None = None) -> DataFrame:
@@ -103,38 +110,92 @@ def kmeans(df: DataFrame, key: str, vector: str, start: list[list[float]], round
     return nearest_centroid(df, key, vector, spark.createDataFrame(list(enumerate(now)), "class int, v array<double>"), "class", "v")
 
 
-def mean_shift(df: DataFrame, key: str, vector: str, bandwidth: float | None = None, quantile: float = 0.3, rounds: int = 100) -> DataFrame:
-    """``key, class, dist`` to modes found by a flat kernel on at most
-    ``MEAN_SHIFT_ROWS`` vectors (least hashes of the id); every row is classed.
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, (a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T))
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray, d: int) -> np.ndarray:
+    return pa.chunked_array([c.flatten() for c in getattr(column, "chunks", [column])], pa.float64()).to_numpy().reshape(-1, d)
+
+
+def _near(rows: DataFrame, modes: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """How many of the rows' vectors ``x`` lie within ``reach`` of each mode, and
+    their sums.  Tasks sum before the shuffle: a task sends one row a mode."""
+    d = modes.shape[1]
+    count, total = np.zeros(len(modes), np.int64), np.zeros(modes.shape)
+
+    def sums(part: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, own = np.zeros(len(part), np.int64), np.zeros(part.shape)
+            for batch in batches:
+                x = _matrix(batch.column(0), d)
+                for i in range(0, len(x), 2048):
+                    some = x[i : i + 2048]
+                    for k in range(0, len(part), 1024):
+                        inside = (_distance(part[k : k + 1024], some) <= reach).astype(float)
+                        n[k : k + 1024] += inside.sum(1).astype(np.int64)
+                        own[k : k + 1024] += inside @ some
+            hit = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(n[hit]), pa.array(list(own[hit]), pa.list_(pa.float64()))], names=["m", "n", "x"])
+
+        return run
+
+    size = max(1, PASS_VALUES // max(1, d))
+    for k in range(0, len(modes), size):
+        found = rows.mapInArrow(sums(modes[k : k + size]), "m bigint, n bigint, x array<double>")
+        got = found.groupBy("m").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.col("x")[j]) for j in range(d))).alias("x")).toArrow()
+        at = got["m"].to_numpy() + k
+        count[at], total[at] = got["n"].to_numpy(), _matrix(got["x"], d)
+    return count, total
+
+
+def mean_shift(df: DataFrame, key: str, vector: str, bandwidth: float | None = None, quantile: float = 0.3, rounds: int = 300) -> DataFrame:
+    """``key, class, dist`` to modes found by a flat kernel: every vector starts a
+    mode, modes move to the mean of all vectors within the bandwidth until they
+    move by a thousandth of it, and of modes within a bandwidth the one with most
+    vectors stays.
 
     Without a bandwidth it is the mean distance to the ``quantile`` nearest share
-    of the sampled vectors, or 0.5 if that is 0.
-    """
-    import numpy as np
+    of ``BANDWIDTH_ROWS`` vectors (least hashes of the id), or 0.5 if that is 0.
 
+    A round is a pass over the rows and compares each with every mode that still
+    moves; the first round's work is the square of the rows.  The distinct modes
+    lie in the driver, modes that agree within rounding as one.
+    """
     spark = df.sparkSession
-    x = np.array([r[0] for r in df.orderBy(F.xxhash64(key), key).limit(MEAN_SHIFT_ROWS).select(vector).collect()], dtype=float)
-    if not len(x):
+    sample = np.array([r[0] for r in df.orderBy(F.xxhash64(key), key).limit(BANDWIDTH_ROWS).select(vector).collect()], dtype=float)
+    if not len(sample):
         return spark.createDataFrame([], df.select(key, F.lit(0).alias("class"), F.lit(0.0).alias("dist")).schema)
-    distance = lambda a, b: np.sqrt(np.maximum(0, (a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T))
     if bandwidth is None:
-        near = max(1, math.floor(len(x) * quantile))
-        bandwidth = float(np.sort(distance(x, x), axis=1)[:, near - 1].mean()) or 0.5
-    modes = x.copy()
+        near = max(1, math.floor(len(sample) * quantile))
+        bandwidth = float(np.sort(_distance(sample, sample), axis=1)[:, near - 1].mean()) or 0.5
+    rows = saved(df.select(F.col(vector).cast("array<double>").alias("x")).repartition(spark.sparkContext.defaultParallelism), "vectors")
+    modes = _matrix(rows.distinct().toArrow()["x"], sample.shape[1])
+    still: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(rounds):
-        inside = distance(modes, x) <= bandwidth
-        new = (inside @ x) / np.maximum(1, inside.sum(1))[:, None]
-        new[~inside.any(1)] = modes[~inside.any(1)]
-        if np.abs(new - modes).max() < 1e-3 * bandwidth:
-            modes = new
+        count, total = _near(rows, modes, bandwidth)
+        new = np.where(count[:, None] > 0, total / np.maximum(1, count)[:, None], modes)
+        stops = np.linalg.norm(new - modes, axis=1) <= 1e-3 * bandwidth
+        still.append((count[stops], new[stops]))
+        modes = new[~stops]
+        modes = modes[np.unique(np.round(modes / (1e-9 * bandwidth)), axis=0, return_index=True)[1]]
+        if not len(modes):
             break
-        modes = new
-    weight = (distance(modes, x) <= bandwidth).sum(1)
-    kept: list[int] = []
-    for i in sorted(range(len(modes)), key=lambda i: (-weight[i], i)):
-        if not kept or distance(modes[i : i + 1], modes[kept]).min() > bandwidth:
-            kept.append(i)
-    cents = spark.createDataFrame([(j, modes[i].tolist()) for j, i in enumerate(kept)], "class int, v array<double>")
+    else:
+        warnings.warn(f"mean_shift: {len(modes)} modes still move after {rounds} rounds", stacklevel=2)
+        still.append((_near(rows, modes, bandwidth)[0], modes))
+    weight, modes = (np.concatenate(x) for x in zip(*still, strict=True))
+    # A mode that left all vectors is none.
+    if weight.any():
+        weight, modes = weight[weight > 0], modes[weight > 0]
+    order = np.lexsort([*modes.T[::-1], weight])[::-1]
+    modes, left, kept = modes[order], np.ones(len(order), bool), []
+    while left.any():
+        i = int(left.argmax())
+        kept.append(modes[i])
+        left &= _distance(modes[i : i + 1], modes)[0] > bandwidth
+        left[i] = False
+    cents = spark.createDataFrame([(j, m.tolist()) for j, m in enumerate(kept)], "class int, v array<double>")
     return nearest_centroid(df, key, vector, cents, "class", "v")
 
 

@@ -47,6 +47,29 @@ def test_kmeans(spark):
     assert len({got[i] for i in range(20)}) == 1 and len({got[i] for i in range(20, 40)}) == 1 and got[0] != got[30]
 
 
+def test_mean_shift_moves_modes_against_all_rows(spark):
+    """Beyond 1,000 rows, with a cluster of three rows, against one seed at a time."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 1, (1500, 2)), rng.normal([6, 0], 1, (700, 2)), rng.normal([0, 40], 0.1, (3, 2)), rng.normal([40, 0], 0.1, (2, 2))])
+    ends = []
+    for m in x:
+        for _ in range(300):
+            inside = x[np.linalg.norm(x - m, axis=1) <= 2.0]
+            old, m = m, inside.mean(0)
+            if np.linalg.norm(m - old) <= 2e-3:
+                break
+        ends.append((len(inside), tuple(m)))
+    modes = []
+    for _, m in sorted(set(ends), reverse=True):
+        if all(np.linalg.norm(np.subtract(m, k)) > 2.0 for k in modes):
+            modes.append(m)
+    far = np.linalg.norm(x[:, None] - np.array(modes), axis=2)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k int, v array<double>").repartition(5)
+    got = sorted(classify.mean_shift(df, "k", "v", 2.0).collect())
+    assert [r["class"] for r in got] == far.argmin(1).tolist()
+    assert np.allclose([r["dist"] for r in got], far.min(1))
+
+
 def test_enforce_distance(spark):
     df = spark.createDataFrame([(0, 0.0, 1.0), (0, 0.5, 3.0), (0, 1.2, 2.0), (0, 3.0, 1.0), (1, 0.0, 1.0)], "f int, t double, s double")
     got = sorted((r["f"], r["t"]) for r in classify.enforce_distance(df, ["f"], "t", "s", 1.0).collect())
