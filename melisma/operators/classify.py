@@ -93,20 +93,23 @@ def enforce_distance(df: DataFrame, by: list[str], t: str, strength: str, least:
     return listed.select(*by, F.explode(F.aggregate("__p", start, step)).alias("__k")).select(*by, F.col("__k.t").alias(t), F.col("__k.s").alias(strength))
 
 
-def kmeans(df: DataFrame, key: str, vector: str, start: list[list[float]], rounds: int = 20) -> DataFrame:
+def kmeans(df: DataFrame, key: str, vector: str, start: list[list[float]], rounds: int = 300) -> DataFrame:
     """``key, class, dist`` after Lloyd rounds from given centres; a round is one
-    aggregate, and only centres come to the driver."""
+    aggregate, and only centres come to the driver.  Ends when no centre moves;
+    centres that still move after all rounds are reported by a warning."""
     spark, now = df.sparkSession, [list(map(float, c)) for c in start]
     for _ in range(rounds):
         cents = spark.createDataFrame(list(enumerate(now)), "class int, v array<double>")
-        placed = nearest_centroid(df, key, vector, cents, "class", "v")
-        means = long_vectors(df.join(placed.select(key, "class"), key), key, vector, ["class"]).groupBy("class", "j").agg(F.avg("x").alias("x"))
+        placed = nearest_centroid(df, vector, vector, cents, "class", "v")
+        means = placed.select("class", F.posexplode(vector).alias("j", "x")).groupBy("class", "j").agg(F.avg(F.col("x").cast("double")).alias("x"))
         new = {r["class"]: r["v"] for r in as_vectors(means, "class", "x", "v").collect()}
         after = [new.get(i, c) for i, c in enumerate(now)]
         moved = max(abs(a - b) for x, y in zip(after, now, strict=True) for a, b in zip(x, y, strict=True))
         now = after
         if moved < 1e-9:
             break
+    else:
+        warnings.warn(f"kmeans: centres still move by {moved:g} after {rounds} rounds", stacklevel=2)
     return nearest_centroid(df, key, vector, spark.createDataFrame(list(enumerate(now)), "class int, v array<double>"), "class", "v")
 
 

@@ -47,6 +47,26 @@ def test_kmeans(spark):
     assert len({got[i] for i in range(20)}) == 1 and len({got[i] for i in range(20, 40)}) == 1 and got[0] != got[30]
 
 
+def test_kmeans_runs_until_centres_rest(spark):
+    """Rows on a line from poor first centres: more than 20 rounds, against numpy."""
+    x = np.random.default_rng(5).random((400, 1))
+    x = x[np.argsort(x[:, 0])]
+    now, turns = x[:5], 0
+    while True:
+        own = np.abs(x - now[:, 0]).argmin(1)
+        new = np.array([x[own == c].mean(0) for c in range(5)])
+        turns += 1
+        if np.abs(new - now).max() < 1e-9:
+            break
+        now = new
+    assert turns > 22
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k int, v array<double>")
+    got = sorted(classify.kmeans(df, "k", "v", x[:5].tolist()).collect())
+    assert [r["class"] for r in got] == own.tolist()
+    with pytest.warns(UserWarning, match="still move"):
+        classify.kmeans(df, "k", "v", x[:5].tolist(), rounds=2)
+
+
 def test_mean_shift_moves_modes_against_all_rows(spark):
     """Beyond 1,000 rows, with a cluster of three rows, against one seed at a time."""
     rng = np.random.default_rng(3)
