@@ -1,9 +1,10 @@
 """Sharding by balanced label propagation.
 
-Documents linked through a hub (here: equal texts) start with a label from a hash
-and, round by round, join their hub's tally of neighbours' labels and move to the
-commonest one as far as the receiving shard's quota goes.  Unlinked documents cut
-no edge wherever they lie, so they fill what is left of each quota, to the row.
+Documents linked through a hub (here: equal texts) start with a label from a hash.
+Round by round a hub asks for the commonest label of its documents among the shards
+with room for all of them, larger hubs first, until none is left that fits.  Other
+documents cut no edge wherever they lie, so they fill what is left of each quota,
+to the row.
 """
 
 from __future__ import annotations
@@ -16,45 +17,65 @@ from pyspark.sql.window import Window
 
 from .common import table, text_or_empty, work_dir, written
 
-_MOVE_BINS = 1024
+_MOVE_BINS = 128
 
 
-def propagate(nodes: DataFrame, hub: list[str], quota: list[int], rounds: int, path: str) -> DataFrame:
-    """Move linked ``nodes`` (with ``hub`` columns and ``__label``) towards the
-    label most of their hub has; ties fall by hash, so that no shard is favoured.
+def propagate(nodes: DataFrame, hub: list[str], quota: list[int], path: str) -> DataFrame:
+    """Give linked ``nodes`` (with ``hub`` columns and ``__label``) the label most
+    of their hub has among the shards with room for the hub; ties fall by hash, so
+    that no shard is favoured.  Hubs that fit no shard get the label ``len(quota)``.
 
-    A round admits movers to a shard up to its free quota: proposals are summed
-    by shard and by one of 1024 hash bins of their hubs, and a shard takes whole
-    bins while they fit, so a hub moves as one and the driver sees at most
-    shards x 1024 sums.  Ends early when no node wants to move.
+    Only hubs that have their shard take room: documents of the others lie nowhere
+    yet.  Asked rows are summed by shard, size class (power of two) and one of 128
+    hash bins of their hubs; a shard takes whole bins while they fit, else a bin's
+    first hub, and smaller classes wait until no larger hub was refused.  So a hub
+    moves as one, each round settles one at least, and the driver sees at most
+    shards x classes x 128 sums.  Ends when no hub is left that fits.
     """
-    k = len(quota)
-    for turn in range(rounds):
-        tally = nodes.groupBy(*hub, "__label").agg(F.count(F.lit(1)).alias("__n"))
-        best = tally.groupBy(*hub).agg(F.max(F.struct("__n", F.xxhash64("__label", *hub).alias("__tie"), "__label")).alias("__b"))
-        best = best.select(*hub, F.col("__b.__label").alias("__want"), F.pmod(F.xxhash64(F.lit(turn), *hub), F.lit(_MOVE_BINS)).cast("int").alias("__bin"))
-        asked = written(nodes.join(best, hub), f"{path}-{turn}-asked")
-        sums = asked.groupBy("__want", "__bin", (F.col("__label") == F.col("__want")).alias("__stays")).agg(F.count(F.lit(1)).alias("n")).collect()
-        labels = asked.groupBy("__label").agg(F.count(F.lit(1)).alias("n")).collect()
-        room = [q - n for q, n in zip(quota, [sum(r["n"] for r in labels if r["__label"] == j) for j in range(k)], strict=True)]
-        taken: list[tuple[int, int]] = []
-        for r in sorted((r for r in sums if not r["__stays"]), key=lambda r: (r["__want"], r["__bin"])):
-            if r["n"] <= room[r["__want"]]:
-                room[r["__want"]] -= r["n"]
-                taken.append((r["__want"], r["__bin"]))
-        if not taken:
-            return asked.drop("__want", "__bin")
-        admitted = nodes.sparkSession.createDataFrame(taken, "__want int, __bin int").withColumn("__ok", F.lit(True))
-        moved = asked.join(F.broadcast(admitted), ["__want", "__bin"], "left")
-        nodes = written(moved.withColumn("__label", F.when(F.col("__ok"), F.col("__want")).otherwise(F.col("__label"))).drop("__want", "__bin", "__ok"), f"{path}-{turn}")
-    return nodes
+    k, spark, room = len(quota), nodes.sparkSession, list(quota)
+    tally = nodes.groupBy(*hub, "__label").agg(F.count(F.lit(1)).alias("__n"))
+    counts = F.map_from_entries(F.collect_list(F.struct("__label", "__n")))
+    waiting = tally.groupBy(*hub).agg(F.sum("__n").alias("__m"), counts.alias("__tally"))
+    waiting = written(waiting.withColumn("__class", F.floor(F.log2("__m")).cast("int")), f"{path}-hubs")
+    cell, settled, turn = ["__want", "__class", "__bin"], [], 0
+    while True:
+        fits = [F.when(F.col("__m") <= room[j], F.struct(F.coalesce(F.col("__tally")[j], F.lit(0)).alias("n"), F.xxhash64(F.lit(j), F.lit(turn), *hub).alias("tie"), F.lit(j).alias("label"))) for j in range(k)]
+        own = F.xxhash64(F.lit(turn), *hub)
+        asked = waiting.withColumn("__want", F.array_max(F.array(*fits))["label"]).where("__want IS NOT NULL").withColumn("__own", own).withColumn("__bin", F.pmod("__own", F.lit(_MOVE_BINS)).cast("int"))
+        asked = written(asked, f"{path}-{turn}-asked")
+        sums = asked.groupBy(*cell).agg(F.sum("__m").alias("n"), F.max(F.struct("__own", "__m")).alias("lead")).collect()
+        if not sums:
+            break
+        taken, refused = [], None
+        for r in sorted(sums, key=lambda r: (-r["__class"], r["__want"], r["__bin"])):
+            want, size = r["__want"], r["__class"]
+            if refused is not None and size < refused:
+                break
+            if r["n"] <= room[want]:
+                room[want] -= r["n"]
+                taken.append((want, size, r["__bin"], None))
+                continue
+            refused = size
+            if r["lead"]["__m"] <= room[want]:
+                room[want] -= r["lead"]["__m"]
+                taken.append((want, size, r["__bin"], r["lead"]["__own"]))
+        admitted = spark.createDataFrame(taken, "__want int, __class int, __bin int, __lead bigint").withColumn("__in", F.lit(True))
+        ok = F.coalesce(F.col("__in") & (F.col("__lead").isNull() | (F.col("__lead") == F.col("__own"))), F.lit(False))
+        done = written(asked.join(F.broadcast(admitted), cell, "left").withColumn("__ok", ok), f"{path}-{turn}")
+        settled.append(done.where("__ok").select(*hub, "__want"))
+        waiting = done.where("NOT __ok").select(*hub, "__m", "__tally", "__class")
+        turn += 1
+    places = spark.createDataFrame([], asked.select(*hub, "__want").schema)
+    for some in settled:
+        places = places.unionByName(some)
+    return nodes.join(places, hub, "left").withColumn("__label", F.coalesce("__want", F.lit(k))).drop("__want")
 
 
 def _pick(values: list[int], at: Column) -> Column:
     return F.element_at(F.array(*(F.lit(int(v)).cast("bigint") for v in values)), (at + 1).cast("int"))
 
 
-def shard_rows(docs: DataFrame, shards: int = 24, rounds: int = 3, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def shard_rows(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns of ``keep`` (default: the id) with ``size, text_crc32, law, shard,
     slot, grown_shard`` for each row; law ``rows``: shard counts differ by one at most.
 
@@ -86,7 +107,7 @@ def shard_rows(docs: DataFrame, shards: int = 24, rounds: int = 3, doc_id: str =
     piece = F.pmod("__h", F.ceil(F.col("__copies") / max(1, quota[-1] // 4)).cast("bigint"))
     start = F.pmod(F.xxhash64(F.lit("start"), "__h"), F.lit(shards)).cast("int")
     linked = rows.join(groups, hub).withColumn("__piece", piece).withColumn("__label", start).drop("__copies")
-    linked = propagate(written(linked, f"{path}/linked"), [*hub, "__piece"], quota, rounds, f"{path}/round")
+    linked = propagate(written(linked, f"{path}/linked"), [*hub, "__piece"], quota, f"{path}/round")
     single = rows.join(groups, hub, "left_anti").withColumn("__label", F.lit(shards))
     all_rows = linked.drop("__piece").unionByName(single)
 

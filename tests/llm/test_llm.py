@@ -139,6 +139,24 @@ def test_sharding(spark):
     assert sorted(r["slot"] for r in sharding.shard_rows(docs_of(spark, ODD[:3])).collect()) == [0, 0, 0]
 
 
+@pytest.mark.parametrize("kind", ["fours", "mixed"])
+def test_sharding_of_mostly_copies(spark, kind):
+    """Nine tenths of the rows in groups of four, or a hot text and 30 large groups
+    among small ones: groups that fit a shard stay whole."""
+    if kind == "fours":
+        texts = [f"copy {i // 4}" for i in range(10_800)] + [f"single {i}" for i in range(1200)]
+    else:
+        texts = ["hot"] * 4000 + [f"large {i % 30}" for i in range(3000)] + [f"small {i // 3}" for i in range(3000)] + [f"single {i}" for i in range(2000)]
+    got = sharding.shard_rows(docs_of(spark, [(i, x, "en", "a") for i, x in enumerate(texts)])).collect()
+    shards, groups = {}, {}
+    for r in got:
+        shards.setdefault(r["shard"], []).append(r["slot"])
+        groups.setdefault(texts[r["doc_id"]], []).append(r["shard"])
+    assert len(got) == len(texts) and max(map(len, shards.values())) - min(map(len, shards.values())) <= 1
+    assert all(sorted(s) == list(range(len(s))) for s in shards.values())
+    assert [x for x, s in groups.items() if x != "hot" and len(set(s)) > 1] == []
+
+
 def fake_language(lang, n, seed):
     rng = random.Random(f"{lang}{seed}")
     sounds = {"en": ["th", "ing", "wh", "ea"], "de": ["sch", "ung", "ü", "ei"]}[lang]
