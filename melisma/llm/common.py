@@ -91,25 +91,22 @@ def train_row(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 != 2, F.lit(False))
 
 
-def training_sample(docs: DataFrame, classes: DataFrame, per_class: int, text_chars: int, max_classes: int = 64, seed: int = 11) -> list[tuple]:
+def training_sample(docs: DataFrame, classes: DataFrame, per_class: int, text_chars: int, seed: int = 11) -> list[tuple]:
     """``(label, text)`` of at most ``per_class`` documents of each class, the same
     on every run: ids whose hash falls below the class's share, then trimmed by
     hash.  ``docs`` has ``doc_id, text``, ``classes`` ``doc_id, y``; null labels
     are left out.
 
-    The picked ids are at most ``max_classes`` (the largest) times about ``1.3 *
-    per_class + 50``, so they are broadcast to the texts; the driver gets of each
+    Every class is sampled.  The picked ids are about ``1.3 * per_class + 50`` a
+    class at most, so they are broadcast to the texts; the driver gets of each
     text at most ``text_chars`` characters, from a place that the hash gives.
     """
     classes = classes.where(F.col("y").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "y")
-    sizes = classes.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "y").limit(max_classes).collect()
-    if not sizes:
-        return []
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("y") == F.lit(r["y"]), F.lit(min(1.0, (1.3 * per_class + 50) / r["n"]))).otherwise(share)
+    sizes = classes.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+    share = F.least(F.lit(1.0), F.lit(1.3 * per_class + 50) / F.col("n")).alias("share")
+    shares = sizes.select("y", share)
     h = F.xxhash64(F.lit(seed), "doc_id")
-    picked = classes.where(F.pmod(h, F.lit(1_000_000)) < share * 1_000_000).distinct()
+    picked = classes.join(F.broadcast(shares), "y").where(F.pmod(h, F.lit(1_000_000)) < F.col("share") * 1_000_000).select("doc_id", "y").distinct()
     text = text_or_empty()
     start = F.when(F.length(text) > text_chars, F.pmod(F.xxhash64(h), F.length(text) - text_chars + 1)).otherwise(0)
     got = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")

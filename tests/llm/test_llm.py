@@ -179,6 +179,17 @@ def test_language_id(spark):
     assert one.langs == ["en"] and language_id.train([]) is None
 
 
+def test_language_id_learns_every_language(spark):
+    """70 languages, the smallest of them with one training row."""
+    train = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(i, f"text {i}", f"l{min(k, 69):02}", "a") for k, i in enumerate(train[:70])]
+    rows += [(i, f"text {i}", f"l{k % 69:02}", "a") for k, i in enumerate(train[70:700])]
+    classes = docs_of(spark, rows).select("doc_id", F.col("lang").alias("y"))
+    got = common.training_sample(docs_of(spark, rows), classes, 400, 4000)
+    assert sorted(got) == sorted((r[2], r[1]) for r in rows)
+    assert language_id.learn(docs_of(spark, rows)).langs == [f"l{k:02}" for k in range(70)]
+
+
 def test_gru_gradient():
     rng = np.random.default_rng(0)
     d = language_id.Direction(*(rng.normal(size=s) * 0.4 for s in ((6, 256), (6, 2), (2, 1))))
