@@ -233,6 +233,16 @@ def test_toxicity(spark):
     assert all(r["score"] < 0.3 for r in toxicity.score(docs_of(spark, ODD), nothing).collect())
 
 
+def test_toxicity_sample_takes_long_texts_whole(spark, monkeypatch):
+    """3,000 documents of one label and one of over 80,000 characters all go in whole."""
+    ids = [i for i in range(6000) if zlib.crc32(str(i).encode()) % 4 != 2][:3001]
+    texts = {i: f"text {i}" for i in ids[1:]} | {ids[0]: words(90_000 // 6, 1)[:90_000]}
+    docs = docs_of(spark, [(i, x, "en", "a") for i, x in texts.items()])
+    labels = spark.createDataFrame([(i, int(i == ids[0])) for i in ids], "doc_id bigint, toxic int")
+    monkeypatch.setattr(toxicity, "train", lambda sample: sample)
+    assert sorted(toxicity.learn(docs, labels)) == sorted((int(i == ids[0]), x) for i, x in texts.items())
+
+
 def test_crf_marginals_against_all_paths():
     rng = np.random.default_rng(2)
     field = toxicity.Field(np.zeros(0, np.uint64), np.zeros(0), 0.0, rng.normal(size=(2, 2)))
