@@ -57,8 +57,9 @@ def benchmark_pieces(bench: DataFrame, item_id: str, text: str) -> Pieces:
     item, words = [], []
     for i, name in enumerate(frame["item"].tolist()):
         own = w.hash[w.first[i] : w.first[i + 1]]
-        parts = max(1, round(len(own) / (2 * HALF)))
-        for part in np.array_split(own, parts):
+        # Halves two by two, so that pieces overlap by half as passages do.
+        halves = np.array_split(own, 2 * max(1, round(len(own) / (2 * HALF))))
+        for part in [own] if len(halves) == 2 else [np.concatenate(x) for x in zip(halves, halves[1:])]:
             if len(part):
                 item.append(name)
                 words.append(part)

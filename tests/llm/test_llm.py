@@ -407,6 +407,14 @@ def test_decontamination_of_many_items(spark, monkeypatch, n, values):
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(i, i) for i in range(len(items))}
 
 
+def test_decontamination_over_a_cut(spark):
+    """75 words in a row of a long item are found wherever they begin."""
+    item = [f"w{i}" for i in range(256)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    rows = [(i, f"{words(40, i, 5000)} {' '.join(item[i : i + 75])} {words(40, 500 + i, 5000)}", "en", "a") for i in range(182)]
+    assert sorted(r["doc_id"] for r in decontaminate.leaks(docs_of(spark, rows), bench).collect()) == list(range(182))
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(50):
