@@ -13,12 +13,14 @@ def saved(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     rows outlive any executor.
 
     Without ``folder`` it lies in ``spark.checkpoint.dir``; only where that is absent
-    (a local test) a temporary folder is set.
+    in a local session a temporary folder is set, on a cluster its absence is an error.
     """
     spark = df.sparkSession
     if folder is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             shared = "file://" + tempfile.mkdtemp(prefix="melisma-")
             spark.conf.set("spark.checkpoint.dir", shared)
         folder = f"{shared.rstrip('/')}/stage-{uuid.uuid4().hex}"
