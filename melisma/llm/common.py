@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: A set of row ids up to this many rows is broadcast (8 bytes a row, some 64 MB
 #: as a hashed relation); a larger one goes through a shuffled join.
@@ -20,10 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (a local test) a temporary folder is set.
+    Only where the setting is absent in a local session a temporary folder is set;
+    on a cluster its absence is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="melisma-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -76,6 +80,24 @@ def only_keys(df: DataFrame, keys: DataFrame, on: list[str], how: str = "left_se
     return df.join(F.broadcast(keys) if small_enough(keys, bound) else keys, on, how)
 
 
+#: Equal rows that one task counts out.
+REPEATS = 100_000
+
+
+def numbered_repeats(df: DataFrame, nth: str = "__nth") -> DataFrame:
+    """The rows of ``df``, equal ones numbered from 0 in column ``nth``: a row key
+    that is the same on every run.  Equal rows are counted on the map side and
+    dealt out again in pieces, so a group of any size is nobody's single task."""
+    counted = df.groupBy(*(F.col(f"`{c}`") for c in df.columns)).agg(F.count(F.lit(1)).alias("__n"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+    few = counted.where(F.col("__n") <= REPEATS).withColumn(nth, upto(F.col("__n")))
+    piece = counted.where(F.col("__n") > REPEATS).withColumn("__piece", upto(F.ceil(F.col("__n") / REPEATS).cast("bigint")))
+    piece = piece.repartition(shuffle_partitions(df.sparkSession), "__piece", *(F.col(f"`{c}`") for c in df.columns))
+    many = piece.withColumn(nth, upto(F.least(F.lit(REPEATS), F.col("__n") - F.col("__piece") * REPEATS).cast("bigint")))
+    many = many.withColumn(nth, F.col(nth) + F.col("__piece") * REPEATS)
+    return few.drop("__n").unionByName(many.drop("__n", "__piece"))
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
@@ -98,19 +120,23 @@ def training_sample(docs: DataFrame, classes: DataFrame, per_class: int, text_ch
     are left out.
 
     Every class is sampled.  The picked ids are about ``1.3 * per_class + 50`` a
-    class at most, so they are broadcast to the texts; the driver gets of each
-    text at most ``text_chars`` characters, from a place that the hash gives.
+    class at most, so they are broadcast to the texts.  Of rows that share an id one
+    text stays, and the trimming is done before the driver gets the rows: at most
+    ``per_class`` texts a class of at most ``text_chars`` characters, from a place
+    that the hash gives.
     """
     classes = classes.where(F.col("y").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "y")
     sizes = classes.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
     share = F.least(F.lit(1.0), F.lit(1.3 * per_class + 50) / F.col("n")).alias("share")
-    shares = sizes.select("y", share)
     h = F.xxhash64(F.lit(seed), "doc_id")
-    picked = classes.join(F.broadcast(shares), "y").where(F.pmod(h, F.lit(1_000_000)) < F.col("share") * 1_000_000).select("doc_id", "y").distinct()
+    grain = float(1 << 52)
+    picked = classes.join(F.broadcast(sizes.select("y", share)), "y").where(F.pmod(h, F.lit(1 << 52)) < F.col("share") * grain).select("doc_id", "y").distinct()
     text = text_or_empty()
     start = F.when(F.length(text) > text_chars, F.pmod(F.xxhash64(h), F.length(text) - text_chars + 1)).otherwise(0)
     got = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    got = got.select("y", h.alias("h"), F.substr(text, start.cast("int") + 1, F.lit(text_chars)).alias("t")).toPandas()
-    got = got.sort_values(["y", "h", "t"], kind="stable")
-    got = got[got.groupby("y").cumcount() < per_class]
+    got = got.select("y", h.alias("h"), F.substr(text, start.cast("int") + 1, F.lit(text_chars)).alias("t"))
+    got = got.groupBy("y", "h").agg(F.min("t").alias("t"))
+    place = F.row_number().over(Window.partitionBy("y").orderBy("h"))
+    got = got.withColumn("place", place).where(F.col("place") <= per_class).select("y", "h", "t").toPandas()
+    got = got.sort_values(["y", "h"], kind="stable")
     return list(zip(got["y"].tolist(), got["t"].tolist(), strict=True))
