@@ -3,16 +3,15 @@
 Every document has an expected number of copies, its source's target over its
 source's size.  The whole part is taken; the fractional parts are inclusion
 probabilities that a flight phase moves through the null space of two balancing
-constraints, documents and words, until all but two units of a bucket are 0 or
-1.  The units left over from all buckets fly again, level by level, until each
-source has at most two; a landing step decides those together with a reserve of a
-few hundred units.
+constraints, documents and words, until all but a few units of a bucket are 0 or
+1.  The units left over from all buckets fly again, level by level, until one
+bucket is left for each source; its flight ends at 14 units at most, which a landing
+step decides by trying all their outcomes.
 """
 
 from __future__ import annotations
 
 import random
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,21 +20,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shuffle_partitions, table, work_dir, written
+from .common import numbered_repeats, shuffle_partitions, table, work_dir, written
 
 WORDS = r"[^\x20\x09-\x0D]+"
 _EPS = 1e-9
-#: Units of a source that its last flight leaves to the landing step, and those of
-#: which landing tries all outcomes.
-_RESERVE, _TRIED = 400, 14
+#: Units that landing decides at most, by all their outcomes.
+LANDED = 14
+#: Units that move together in a step of the flight.
+WINDOW = 256
+#: Sources whose totals are broadcast; with more of them they are joined by shuffle.
+BROADCAST_SOURCES = 100_000
 
 
 def target_sizes(sizes: dict, weights: dict, share: float, most: float) -> dict:
     """Targets by weight over ``share`` of all sizes, none above ``most`` times
     its source's size; what is above is dealt again by weight to the others.
 
-    ``sizes`` has one entry per weighted source: it is as long as the table of
-    weights, which is the caller's own and not a matter of the corpus.
+    ``sizes`` has one number per source, which the driver holds.
     """
     left, rest, target = share * sum(sizes.values()), set(sizes), {}
     while rest:
@@ -50,82 +51,123 @@ def target_sizes(sizes: dict, weights: dict, share: float, most: float) -> dict:
     return target
 
 
-def fly(active: list[list], rng: random.Random) -> None:
-    """One step of the flight: move the units' probabilities along a direction
-    that keeps sum(p) and sum(p * size), until one of them is 0 or 1.
-
-    ``active`` holds ``[p, size, ...]``; three units, or two of equal size.
-    """
-    if len(active) == 3 and not active[0][1] == active[1][1] == active[2][1]:
-        (_, a, *_), (_, b, *_), (_, c, *_) = active
-        u = [c - b, a - c, b - a]
-    else:
-        u = [1.0, -1.0, 0.0][: len(active)]
-    scale = max(abs(x) for x in u)
-    u = [x / scale for x in u]
-    ahead = min([(1 - x[0]) / d if d > 0 else x[0] / -d for x, d in zip(active, u, strict=True) if d])
-    back = min([x[0] / d if d > 0 else (1 - x[0]) / -d for x, d in zip(active, u, strict=True) if d])
+def fly(p: np.ndarray, size: np.ndarray, rng: random.Random) -> bool:
+    """One step of the flight: move the probabilities ``p``, all between 0 and 1,
+    along a direction that keeps sum(p) and sum(p * size), until one of them is 0
+    or 1.  The direction is the first unit's, projected on the constraints' null
+    space, or if that is nothing but 0 the next unit's that has one; False if none
+    has."""
+    mean = size.mean()
+    apart = (size - mean) / max(mean, 1.0)  # the constraints, made orthogonal
+    spread = apart @ apart
+    flat = spread < _EPS
+    own = 1 - 1 / len(p) - (0.0 if flat else apart * apart / spread) + np.zeros(len(p))
+    lead = 0 if own[0] >= 1e-6 else int(own.argmax())
+    if own[lead] < 1e-6:
+        return False
+    u = np.full(len(p), -1 / len(p)) if flat else -1 / len(p) - apart * (apart[lead] / spread)
+    u[lead] += 1
+    u[np.abs(u) < _EPS] = 0.0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        up, down = (1 - p) / np.abs(u), p / np.abs(u)
+    ahead = np.where(u > 0, up, down)[u != 0].min()
+    back = np.where(u > 0, down, up)[u != 0].min()
     step = ahead if rng.random() * (ahead + back) < back else -back
-    for x, d in zip(active, u, strict=True):
-        x[0] = min(1.0, max(0.0, x[0] + step * d))
-        if x[0] < _EPS or x[0] > 1 - _EPS:
-            x[0] = round(x[0])
+    p += step * u
+    p[p < _EPS], p[p > 1 - _EPS] = 0.0, 1.0
+    return True
 
 
 def land(units: list[list], rng: random.Random) -> None:
-    """Decide the last units: all but a few of every size are drawn one by one, the
-    largest first, and the words that a draw gives or takes are made up by the
-    chances of those to come; for the few all outcomes are tried, and the one whose
-    words and, less strictly, whose number are nearest to the expected is taken."""
-    units = sorted(units, key=lambda x: (-x[1], -x[0]))
-    few = {len(units) * (2 * i + 1) // (2 * _TRIED) for i in range(_TRIED)} if len(units) > _TRIED else set()
-    units = [x for i, x in enumerate(units) if few and i not in few] + [x for i, x in enumerate(units) if not few or i in few]
-    owed = 0.0  # words that could not be made up yet
-    while len(units) > _TRIED:
-        x = units.pop(0)
-        p = x[0]
-        x[0] = int(rng.random() < p) if abs(owed) <= x[1] / 2 else int(owed > 0)
-        miss = owed + (p - x[0]) * x[1]
-        room = [((1 - u[0]) if miss > 0 else u[0]) for u in units]
-        total = sum(r * u[1] for r, u in zip(room, units, strict=True))
-        part = max(-1.0, min(1.0, miss / total)) if total else 0.0
-        owed = miss - part * total
-        for r, u in zip(room, units, strict=True):
-            u[0] = min(1.0, max(0.0, u[0] + r * part))
+    """Decide the last units, ``LANDED`` at most, together.
+
+    Of all outcomes whose number is within one of the expected, those count whose
+    words are nearest to the expected, within the smallest unit's size; one of them
+    is drawn with its probability if all units were drawn independently.
+    """
     if not units:
         return
     p, size = np.array([x[0] for x in units]), np.array([x[1] for x in units], dtype=float)
-    mask = rng.randrange(1 << len(units))  # which of equally good outcomes comes first
-    bits = ((np.arange(1 << len(units)) ^ mask)[:, None] >> np.arange(len(units))) & 1
-    miss = np.abs(bits @ size - p @ size - owed) + 0.01 * size.mean() * np.abs(bits.sum(1) - p.sum())
-    for x, v in zip(units, bits[int(miss.argmin())], strict=True):
+    bits = (np.arange(1 << len(units))[:, None] >> np.arange(len(units))) & 1
+    bits = bits[np.abs(bits.sum(1) - p.sum()) <= 1]
+    miss = np.abs(bits @ size - p @ size)
+    bits = bits[miss <= miss.min() + size.min() + _EPS]
+    chance = np.where(bits == 1, p, 1 - p).prod(1)
+    total = np.cumsum(chance)
+    chosen = int(np.searchsorted(total, rng.random() * total[-1])) if total[-1] > 0 else int(chance.argmax())
+    for x, v in zip(units, bits[min(chosen, len(bits) - 1)], strict=True):
         x[0] = int(v)
 
 
+def settle_heavy(p: np.ndarray, size: np.ndarray, rng: random.Random) -> None:
+    """Decide each unit that is so far larger than the smaller ones that these can't
+    make up for its words and keep their number: by one long step in the null space
+    of the words alone, in which all of them move by their room.  Where they have
+    room for one outcome only, that one it is.  Sizes fall."""
+    i = 0
+    while i < len(p) - 1 and size[i] > 4 * size[i + 1 :].mean() and size[i] > 0.5 * size[i + 1 :].std() * (len(p) - i - 1):
+        rest = slice(i + 1, None)
+        down, up = p[rest] @ size[rest], (1 - p[rest]) @ size[rest]
+        more, less = (1 - p[i]) * size[i], p[i] * size[i]
+        take = rng.random() < p[i]
+        if more > down or less > up:
+            take = more - down < less - up
+        moved = min(1.0, more / down) if take else min(1.0, less / up)
+        p[rest] += -moved * p[rest] if take else moved * (1 - p[rest])
+        p[i] = float(take)
+        i += 1
+    p[p < _EPS], p[p > 1 - _EPS] = 0.0, 1.0
+
+
+def fly_all(units: list[list], rng: random.Random, leave: int = LANDED) -> list[list]:
+    """Fly ``units`` (``[p, size, ...]``) until ``leave`` at most, and no more than six
+    or a third of them, are between 0 and 1.  Gives those.
+
+    Units that outweigh the others are settled first.  The largest unit leads, and up to ``WINDOW`` of the next sizes move with it, so
+    that the large are decided while many can make up for them and the open ones
+    are of the smallest.
+    """
+    units = sorted(units, key=lambda x: -x[1])
+    leave = min(leave, max(6, len(units) // 3))
+    size = np.array([x[1] for x in units], dtype=float)
+    p = np.array([x[0] for x in units], dtype=float)
+    settle_heavy(p, size, rng)
+    flying = np.flatnonzero((p > 0) & (p < 1))
+    at, following = flying[:WINDOW], WINDOW
+    while len(at) + max(0, len(flying) - following) > leave or (len(at) == 2 and size[at[0]] == size[at[1]]):
+        now = p[at]
+        if not fly(now, size[at], rng):
+            break
+        p[at] = now
+        at = at[(now > 0) & (now < 1)]
+        more = max(0, min(WINDOW - len(at), len(flying) - following))
+        at = np.concatenate([at, flying[following : following + more]])
+        following += more
+    for x, v in zip(units, p.tolist(), strict=True):
+        x[0] = v
+    return [units[i] for i in [*at.tolist(), *flying[following:].tolist()]]
+
+
 def _flight(names: list[str], seed: int, last: bool):
-    """Fly over rows sorted by source and bucket, holding a few units at a time."""
+    """Fly over rows sorted by source and bucket, one bucket in memory at a time; the
+    last bucket of a source ends with the landing."""
     key, p, n = names.index("__bucket"), names.index("__p"), names.index("size")
     sid = names.index("__sid")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, active, rng, out = None, [], random.Random(seed), []
-        reserve: deque[list] = deque()
+        at, held, rng, out = None, [], random.Random(seed), []
 
-        def close() -> None:
-            units = [*active, *reserve]
-            if last:
-                land(units, rng)
+        def give(units: list[list]) -> None:
             for x in units:
                 x[2][p] = float(x[0])
                 out.append(x[2])
-            active.clear()
-            reserve.clear()
 
-        def settle() -> None:
-            for x in [x for x in active if x[0] in (0, 1)]:
-                x[2][p] = float(x[0])
-                out.append(x[2])
-                active.remove(x)
+        def close() -> None:
+            still = fly_all(held, rng)
+            if last:
+                land(still, rng)
+            give(held)
+            held.clear()
 
         for frame in frames:
             for row in frame.astype(object).where(frame.notna(), None).values.tolist():
@@ -135,12 +177,7 @@ def _flight(names: list[str], seed: int, last: bool):
                 if not 0 < row[p] < 1:
                     out.append(row)
                     continue
-                reserve.append([row[p], row[n], row])
-                if len(reserve) > (_RESERVE if last else 0):
-                    active.append(reserve.popleft())
-                while len(active) == 3:
-                    fly(active, rng)
-                    settle()
+                held.append([row[p], row[n], row])
             if out:
                 yield pd.DataFrame(out, columns=names)
                 out.clear()
@@ -151,26 +188,33 @@ def _flight(names: list[str], seed: int, last: bool):
     return run
 
 
-def mix(docs: DataFrame, weights: dict | list, share: float = 1.5, most: float = 2.0, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 20, bucket_rows: int = 20_000) -> DataFrame:
-    """Columns ``doc_id, source, size, source_size, target, taken`` for each row.
+def mix(docs: DataFrame, weights: dict | list, share: float = 1.5, most: float = 2.0, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 20, bucket_rows: int = 5000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Columns ``doc_id, source, size, source_size, target, taken`` and those of
+    ``keep`` for each row.
 
     ``weights``: a weight per source, or a list dealt in turn to the sources in
-    code-point order, null last.  Size is the number of words; null text has 0.
-    ``taken`` is size times the copies taken, never above ``most`` rounded up.
+    code-point order, null last.  Size is the number of words of the whole text,
+    however long; null text has 0.  ``taken`` is size times the copies taken, never
+    above ``most`` rounded up.
 
     Null sources form a source of their own; a source of size 0 has target 0 and
     its rows take 0.  Repeated rows and null ids are units like any other: units
-    are ordered by a hash of id and size, and equal ones may stand for each other,
-    so reruns agree.  An empty table gives an empty table.
+    are ordered by a hash of what is read and of a number among equal rows, so
+    reruns agree.  Columns that aren't read may have any name.  An empty table
+    gives an empty table.
 
-    A source is flown in buckets of about ``bucket_rows`` units, each streamed
-    with a few hundred units in memory at most, so neither a hot source nor a group of equal ids
-    has to fit anywhere; the rows pass one shuffle without their texts.
+    A source is flown in buckets of about ``bucket_rows`` units, one in memory at a
+    time, so neither a hot source nor a group of equal rows has to fit anywhere; the rows are shuffled without their texts.  The driver holds the
+    totals of each source.
     """
+    if bucket_rows <= LANDED:
+        raise ValueError(f"bucket_rows must be above {LANDED}")
     spark = docs.sparkSession
     tag = work_dir(spark, "mix")
     size = F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORDS)), F.lit(0)).cast("bigint")
-    units = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size")), f"{tag}/units")
+    more = [f"__keep{i}" for i in range(len(keep))]
+    plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), *(F.col(c).alias(m) for c, m in zip(keep, more, strict=True)))
+    units = written(numbered_repeats(plain), f"{tag}/units")
     totals = {r["source"]: (r["s"], r["n"]) for r in units.groupBy("source").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).collect()}
     names = sorted(totals, key=lambda s: (s is None, s or ""))
     given = weights if isinstance(weights, dict) else {s: weights[i % len(weights)] for i, s in enumerate(names)}
@@ -179,12 +223,13 @@ def mix(docs: DataFrame, weights: dict | list, share: float = 1.5, most: float =
         [(s, i, totals[s][0], float(target[s]), max(1, -(-totals[s][1] // bucket_rows))) for i, s in enumerate(names)],
         T.StructType([T.StructField("__source", units.schema["source"].dataType), T.StructField("__sid", T.IntegerType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("__buckets", T.LongType())]),
     )
+    facts = F.broadcast(facts) if len(names) <= BROADCAST_SOURCES else facts
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    known = units.join(F.broadcast(facts), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    known = units.join(facts, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     known = known.withColumn("__copies", copies).withColumn("__base", F.floor(F.col("__copies") + _EPS).cast("int"))
     fraction = F.col("__copies") - F.col("__base")
-    known = known.withColumn("__p", F.when((fraction < _EPS) | (F.col("size") == 0), 0.0).otherwise(fraction)).withColumn("__h", F.xxhash64(F.lit(seed), "doc_id", "size"))
-    flown = known.select("doc_id", "source", "size", "source_size", "target", "__sid", "__base", "__h", "__p", F.pmod("__h", "__buckets").alias("__bucket"))
+    known = known.withColumn("__p", F.when((fraction < _EPS) | (F.col("size") == 0), 0.0).otherwise(fraction)).withColumn("__h", F.xxhash64(F.lit(seed), "doc_id", "size", "__nth", *more))
+    flown = known.select("doc_id", "source", "size", *more, "source_size", "target", "__sid", "__base", "__h", "__p", F.pmod("__h", "__buckets").alias("__bucket"))
 
     decided, level, open_rows = [], 0, flown
     most_buckets = max([-(-totals[s][1] // bucket_rows) for s in names], default=1)
@@ -197,14 +242,15 @@ def mix(docs: DataFrame, weights: dict | list, share: float = 1.5, most: float =
         decided.append(done.where(~is_open))
         if last:
             break
-        # At most two units of each bucket are left.
-        most_buckets = -(-2 * most_buckets // bucket_rows)
+        # At most LANDED units of each bucket are left.
+        most_buckets = -(-LANDED * most_buckets // bucket_rows)
         open_rows = done.where(is_open).withColumn("__bucket", F.pmod("__h", F.lit(most_buckets)))
         level += 1
     rows = decided[0]
-    for more in decided[1:]:
-        rows = rows.unionByName(more)
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("__base") + F.col("__p").cast("int"))).cast("bigint").alias("taken"))
+    for some in decided[1:]:
+        rows = rows.unionByName(some)
+    taken = (F.col("size") * (F.col("__base") + F.col("__p").cast("int"))).cast("bigint").alias("taken")
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken, *(F.col(m).alias(c) for c, m in zip(keep, more, strict=True)))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
