@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table, text_or_empty, work_dir, written
+from .common import numbered_repeats, table, text_or_empty, work_dir, written
 
 _MOVE_BINS = 128
 
@@ -84,7 +84,8 @@ def shard_rows(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text:
     hold a group of a third of all rows.  Null text is empty text.  Null or
     repeated ids and repeated rows each take a place of their own; rows that are
     equal in all that is read may stand for each other.  Fewer rows than shards
-    leave shards empty; an empty table gives no rows.
+    leave shards empty; an empty table gives no rows.  Whole texts are hashed, however
+    long; columns that aren't in ``keep`` may have any name.
 
     Slots are exact ranks: counts per (label, hash bucket) give each bucket its
     first rank, and rows are numbered inside buckets only, so no task sees more
@@ -98,8 +99,9 @@ def shard_rows(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text:
         *(F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)),
         F.col(doc_id).alias("__id"), (F.octet_length(body) + 8).cast("bigint").alias("__size"), F.crc32(body).alias("__crc"),
         F.xxhash64(body).alias("__text_hash"),
-    ).withColumn("__h", F.xxhash64("__id", "__text_hash"))
-    rows = written(rows, f"{path}/rows")
+    )
+    # The number among equal rows keeps many repeats of one row from being one piece.
+    rows = written(numbered_repeats(rows).withColumn("__h", F.xxhash64("__id", "__text_hash", "__nth")).drop("__nth"), f"{path}/rows")
     n = rows.count()
     quota = [n // shards + (j < n % shards) for j in range(shards)]
     hub = ["__text_hash", "__crc", "__size"]
@@ -111,7 +113,7 @@ def shard_rows(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text:
     single = rows.join(groups, hub, "left_anti").withColumn("__label", F.lit(shards))
     all_rows = linked.drop("__piece").unionByName(single)
 
-    bins = max(1, min(1 << 16, n // 20_000 or 1))
+    bins = max(1, min(1 << 16, n // 4000))
     all_rows = all_rows.withColumn("__bin", F.pmod(F.xxhash64("__h", F.lit("bin")), F.lit(bins)).cast("int"))
     counts = written(all_rows.groupBy("__label", "__bin").agg(F.count(F.lit(1)).alias("__n")), f"{path}/counts")
     per_label = {r["__label"]: r["n"] for r in counts.groupBy("__label").agg(F.sum("__n").alias("n")).collect()}
