@@ -1,9 +1,11 @@
 """Token counts: Arrow batches in, lengths out.
 
 Texts are encoded by the tokenizer's own library in slices of about equal bytes.
-A long text is cut only between a non-space character and a following blank or
-line feed: the byte-level pre-tokenizer always ends a piece there, so the counts
-of the parts add up to the count of the whole.
+A long text is cut only where the pre-tokenizer always ends a piece, so the counts
+of the parts add up to the count of the whole: between a non-space character and
+the white space after it, and between a letter or number and an East Asian
+punctuation mark on either side of it.  A run of letters without either is one
+piece to the tokenizer too and stays whole.
 """
 
 from __future__ import annotations
@@ -19,15 +21,22 @@ from pyspark.sql import types as T
 
 from .common import beside_text, bound_batches, table
 
-#: A non-space character followed by the blank at which a new piece starts.
-_CUT = re.compile(r"\S(?=[ \n])")
+#: The last character of a piece, before the one at which a new piece starts.
+_MARKS = "\u3001\u3002\uff01\uff0c\uff0e\uff1a\uff1b\uff1f\u300c\u300d\u300e\u300f\uff08\uff09\u2026"
+_CUT = re.compile(rf"\S(?=[ \t\n\r\u3000])|[^\W_](?=[{_MARKS}])|[{_MARKS}](?=[^\W_])")
+
+
+def n_bytes(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
 
 
 def safe_parts(text: str, size: int) -> list[str]:
-    """Cut ``text`` into parts of ``size`` characters or a little more, at safe
+    """Cut ``text`` into parts of about ``size`` bytes or a little more, at safe
     boundaries only; a text without one stays whole."""
-    if len(text) <= size:
+    total = n_bytes(text)
+    if total <= size:
         return [text]
+    size = max(1, size * len(text) // total)  # in characters
     parts, at = [], 0
     while len(text) - at > size:
         found = _CUT.search(text, at + size - 1)
@@ -82,7 +91,7 @@ def slices(texts: list[str], sizes: list[int], limit: int) -> Iterator[tuple[int
         yield first, len(texts)
 
 
-def count_tokens(df: DataFrame, text: str = "text", vocabulary: str = "byte_bpe_50k.json", batch_bytes: int = 1 << 20, part_chars: int = 1 << 16) -> DataFrame:
+def count_tokens(df: DataFrame, text: str = "text", vocabulary: str = "byte_bpe_50k.json", batch_bytes: int = 1 << 20, part_bytes: int = 1 << 16) -> DataFrame:
     """Replace column ``text`` by ``n_bytes`` and ``n_tokens``; all other columns stay.
 
     ``vocabulary`` is a file path, the same on every executor, or a name that the
@@ -106,18 +115,17 @@ def count_tokens(df: DataFrame, text: str = "text", vocabulary: str = "byte_bpe_
         count = _Counter(_resolve(vocabulary))
         for batch in batches:
             column = batch.column(len(keep))
-            n_bytes, n_tokens = [], []
+            lengths, n_tokens = [], []
             for at in range(0, batch.num_rows, 256):
                 texts = [x or "" for x in column.slice(at, 256).to_pylist()]
-                sizes = [len(x.encode("utf-8", "surrogatepass")) for x in texts]
-                n_bytes += sizes
+                lengths += map(n_bytes, texts)
                 got = [0] * len(texts)
-                parts = [(i, p) for i, x in enumerate(texts) if x for p in (safe_parts(x, part_chars) if count.splits else [x])]
-                for a, b in slices([p for _, p in parts], [len(p) for _, p in parts], batch_bytes):
+                parts = [(i, p) for i, x in enumerate(texts) if x for p in (safe_parts(x, part_bytes) if count.splits else [x])]
+                for a, b in slices([p for _, p in parts], [n_bytes(p) for _, p in parts], batch_bytes):
                     for (i, _), n in zip(parts[a:b], count([p for _, p in parts[a:b]]), strict=True):
                         got[i] += n
                 n_tokens += got
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())], names=[*keep, "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(lengths, pa.int64()), pa.array(n_tokens, pa.int64())], names=[*keep, "n_bytes", "n_tokens"])
 
     return source.mapInArrow(run, schema)
 
