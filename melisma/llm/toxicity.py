@@ -1,10 +1,16 @@
 """Toxicity by a linear-chain conditional random field over words.
 
-Document labels give token labels: word forms and prefixes that a likelihood-ratio
-test ties to toxic training documents mark their words there as toxic, all other
-words are clean.  The field (two labels, word and prefix features, a 2 x 2
-transition table) is trained on these sequences by the forward-backward gradient.
-Its marginals give the offending offsets, and the largest of them the score.
+The field has two labels, features of a word's form, its prefixes and the forms
+before and after it, and a 2 x 2 transition table.  Tokens are labelled first by a
+likelihood-ratio test of forms and prefixes on distinct documents; the field learns
+these sequences and then relabels them itself: in further rounds a token's label is
+its forward-backward posterior given its document's label (a toxic document has a
+toxic token somewhere, a clean one has none, but for a stated share of wrong labels),
+so it unlearns words that the test named wrongly and learns those it missed.
+
+A document's score is the probability that not all tokens of its most offending
+sequence of 64 words are clean, from the forward pass, so a long text gathers no
+score from its length alone; the marginals give the offending offsets.
 """
 
 from __future__ import annotations
@@ -28,6 +34,12 @@ BITS, SEQUENCE = 22, 64
 #: Least likelihood ratio, and share of a marker's documents that are toxic.
 LEAST_G2, PURITY = 20.0, 0.8
 SPAN_AT = 0.3
+#: A feature occurs in so many distinct documents of the sample.
+LEAST_DOCS = 2
+#: The share of labels that is taken to be wrong, either way.
+NOISE = 0.02
+#: Rounds over token labels, and over document labels.
+SEED_ROUNDS, ROUNDS = 3, 6
 
 
 def features(column: pa.Array) -> tuple[Words, np.ndarray]:
@@ -51,56 +63,64 @@ def sequences(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 @dataclass
 class Field:
     keys: np.ndarray  # hashes of the features with a weight, sorted
-    weights: np.ndarray  # their weights, for toxic against clean
+    weights: np.ndarray  # 3 x keys: for the word itself, the next word, the word before
     bias: float
     chain: np.ndarray  # 2 x 2, log potentials from label to label
 
-    def marginals(self, emit: np.ndarray, size: np.ndarray, pairs: bool = False) -> tuple:
+    def marginals(self, emit: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Forward-backward over sequences: ``emit`` is steps x sequences, the log
         odds of toxic; past a sequence's size all is clean and certain.  Gives the
-        toxic marginals and, for training, the summed pair marginals."""
+        toxic marginals, each sequence's summed pair marginals (2 x 2 x sequences)
+        and the log probability that all of a sequence is clean."""
         steps, n = emit.shape
         t = np.exp(self.chain)
         e = np.exp(np.clip(emit, -30, 30))
         live = np.arange(steps)[:, None] < size
-        f = np.empty((steps, 2, n))
+        f, scale = np.empty((steps, 2, n)), np.empty((steps, n))
         f[0, 0], f[0, 1] = 1.0, e[0]
-        f[0] /= f[0].sum(0)
-        for i in range(1, steps):
-            np.matmul(t.T, f[i - 1], out=f[i])
-            f[i, 1] *= e[i]
-            f[i] /= f[i].sum(0)
+        for i in range(steps):
+            if i:
+                np.matmul(t.T, f[i - 1], out=f[i])
+                f[i, 1] *= e[i]
+            scale[i] = f[i, 0] + f[i, 1]
+            f[i] /= scale[i]
+        clean = np.maximum(size - 1, 0) * self.chain[0, 0] - np.where(live, np.log(scale), 0.0).sum(0)
         b = np.ones((2, n))
         p = np.empty((steps, n))
-        joint = np.zeros((2, 2))
+        joint = np.zeros((2, 2, n))
         for i in range(steps - 1, -1, -1):
             if i < steps - 1:
                 into = b.copy()
                 into[1] *= e[i + 1]
                 into = np.where(live[i + 1], into, 1.0)
-                if pairs:
-                    each = f[i][:, None] * t[:, :, None] * into[None]
-                    each *= live[i + 1] / each.sum((0, 1))
-                    joint += each.sum(2)
+                each = f[i][:, None] * t[:, :, None] * into[None]
+                joint += each * (live[i + 1] / each.sum((0, 1)))
                 b = np.where(live[i + 1], t @ into, 1.0)
                 b /= b.sum(0)
             q = f[i] * b
             p[i] = q[1] / q.sum(0)
-        return np.where(live, p, 0.0), joint
+        return np.where(live, p, 0.0), joint, np.minimum(clean, 0.0)
 
-    def emissions(self, rows: np.ndarray) -> np.ndarray:
-        """Log odds of each word.  A bitmap over the hashes' last bits passes the
-        few words whose features may have a weight; the search is exact."""
+    def emissions(self, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Log odds of each word; ``first`` bounds each text's words.  A bitmap over
+        the hashes' last bits passes the few words whose features may have a weight;
+        the search is exact."""
         out = np.full(rows.shape[1], self.bias)
         mask = np.uint64((1 << BITS) - 1)
         maybe = np.zeros(1 << BITS, bool)
         maybe[self.keys & mask] = True
-        for row in rows:
+        for i, row in enumerate(rows):
             at = np.flatnonzero(maybe[row & mask])
             place = np.searchsorted(self.keys, row[at])
             place[place == len(self.keys)] = 0
             same = self.keys[place] == row[at] if len(self.keys) else np.zeros(0, bool)
-            out[at[same]] += self.weights[place[same]]
+            at, place = at[same], place[same]
+            out[at] += self.weights[0, place]
+            if i == 0 and len(at):
+                text = np.searchsorted(first, at, "right") - 1
+                before, after = at > first[text], at + 1 < first[text + 1]
+                out[at[after] + 1] += self.weights[1, place[after]]
+                out[at[before] - 1] += self.weights[2, place[before]]
         return out
 
 
@@ -165,50 +185,114 @@ def prepare(sample: list[tuple[int, str]], at_once: int = 256) -> tuple[np.ndarr
     return np.concatenate(rows, 1), first, np.concatenate(toxic)
 
 
-def train(sample: list[tuple[int, str]], epochs: int = 6, rate: float = 0.5) -> Field:
-    """Fit on ``(0 or 1, text)`` pairs.  Without toxic pairs the field calls
-    everything clean.  Weights near 0 are left out of the field."""
-    field = Field(np.zeros(0, np.uint64), np.zeros(0), -6.0, np.zeros((2, 2)))
+def _features_kept(rows: np.ndarray, text_of: np.ndarray) -> np.ndarray:
+    """Hashes of the features in ``LEAST_DOCS`` texts at least, in order; 0 comes
+    first and stands for all others."""
+    found = []
+    for row in rows:
+        order = np.argsort(row, kind="stable")  # a feature's words stay in order of their texts
+        key, text = row[order], text_of[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
+        keys, count = np.unique(key[new], return_counts=True)
+        found.append(keys[count >= LEAST_DOCS])
+    return np.unique(np.concatenate([np.zeros(1, np.uint64), *found]))
+
+
+class _Learner:
+    """Adagrad on the field's weights, by batches of whole documents."""
+
+    def __init__(self, field: Field, index: np.ndarray, first: np.ndarray, rate: float) -> None:
+        self.field, self.index, self.first, self.rate = field, index, first, rate
+        self.start, self.size, self.bound = sequences(first)
+        self.squares, self.chain_squares, self.bias_square = np.full(field.weights.shape, 1e-2), np.full((2, 2), 1e-2), 1e-2
+        # The forms before and after each word; 0 at a text's ends.
+        form = index[0]
+        self.before, self.after = np.zeros(len(form), np.int32), np.zeros(len(form), np.int32)
+        self.before[1:], self.after[:-1] = form[:-1], form[1:]
+        held = np.diff(first) > 0
+        self.before[first[:-1][held]] = 0
+        self.after[first[1:][held] - 1] = 0
+
+    def batches(self, rng: np.random.Generator, most: int = 512) -> Iterator[np.ndarray]:
+        """Documents in random order, some 512 sequences at a time."""
+        docs = rng.permutation(np.flatnonzero(np.diff(self.bound) > 0))
+        part = np.cumsum(np.diff(self.bound)[docs]) // most
+        yield from np.split(docs, np.flatnonzero(np.diff(part)) + 1)
+
+    def step(self, docs: np.ndarray, pull) -> None:
+        """One step: ``pull`` gives, of the documents, the sequences' bounds, their
+        marginals and clean log probabilities, the wanted change of the marginals
+        and of the summed pairs."""
+        f = self.field
+        pick = np.concatenate([np.arange(self.bound[d], self.bound[d + 1]) for d in docs])
+        s, n = self.start[pick], self.size[pick]
+        at = np.minimum(s + np.arange(SEQUENCE)[:, None], len(self.before) - 1)
+        live = np.arange(SEQUENCE)[:, None] < n
+        ids, before, after = self.index[:, at], self.before[at], self.after[at]
+        emit = f.weights[0][ids].sum(0) + f.weights[1][before] + f.weights[2][after] + f.bias
+        p, joint, clean = f.marginals(np.where(live, emit, 0), n)
+        d, g = pull(docs, np.repeat(np.arange(len(docs)), np.diff(self.bound)[docs]), at, live, p, joint, clean, n)
+        k = f.weights.shape[1]
+        flat = d.ravel()
+        own = np.bincount(ids.ravel(), weights=np.broadcast_to(d, ids.shape).ravel(), minlength=k)
+        grad = np.stack([own, np.bincount(before.ravel(), weights=flat, minlength=k), np.bincount(after.ravel(), weights=flat, minlength=k)])
+        grad -= np.array([[1e-3], [1e-1], [1e-1]]) * f.weights
+        grad[:, 0] = 0.0
+        self.squares += grad * grad
+        f.weights += self.rate * grad / np.sqrt(self.squares)
+        g = g - 1e-2 * f.chain
+        self.chain_squares += g * g
+        f.chain += self.rate * g / np.sqrt(self.chain_squares)
+        self.bias_square += d.sum() ** 2
+        f.bias += self.rate * d.sum() / np.sqrt(self.bias_square)
+
+
+def train(sample: list[tuple[int, str]], rate: float = 0.5, rounds: int = ROUNDS) -> Field:
+    """Fit on ``(0 or 1, text)`` pairs.  Without toxic pairs, or without a word that
+    the likelihood-ratio test names, the field calls everything clean.  Weights near
+    0 are left out of the field."""
+    empty = Field(np.zeros(0, np.uint64), np.zeros((3, 0)), -12.0, np.zeros((2, 2)))
     if not any(int(y) == 1 for y, _ in sample):
-        return field
+        return empty
     rows, first, toxic = prepare(sample)
-    y = mark(rows, np.repeat(np.arange(len(toxic)), np.diff(first)), toxic)
+    text_of = np.repeat(np.arange(len(toxic)), np.diff(first))
+    y = mark(rows, text_of, toxic)
     if not y.any():
-        return field
-    start, size, _ = sequences(first)
-    # Sequences with toxic words, and ten clean ones for each.
-    has = np.add.reduceat(y, start) > 0
-    rng = np.random.default_rng(3)
-    clean = rng.permutation(np.flatnonzero(~has))[: max(20_000, 10 * int(has.sum()))]
-    pick = rng.permutation(np.concatenate([np.flatnonzero(has), clean]))
-    used = np.zeros(len(y), bool)
-    used[np.concatenate([np.arange(s, s + n) for s, n in zip(start[pick], size[pick], strict=True)])] = True
-    keys = np.unique(np.concatenate([np.unique(r[used]) for r in rows]))
-    index = np.stack([np.searchsorted(keys, r).clip(max=len(keys) - 1).astype(np.int32) for r in rows])
-    weights = np.zeros(len(keys))
-    squares, chain_squares, bias_square = np.full(len(keys), 1e-2), np.full((2, 2), 1e-2), 1e-2
-    for _ in range(epochs):
-        for i in range(0, len(pick), 512):
-            s, n = start[pick[i : i + 512]], size[pick[i : i + 512]]
-            at = np.minimum(s + np.arange(SEQUENCE)[:, None], len(y) - 1)
-            live = np.arange(SEQUENCE)[:, None] < n
-            gold = np.where(live, y[at], 0).astype(float)
-            ids = index[:, at]
-            p, joint = field.marginals(np.where(live, weights[ids].sum(0) + field.bias, 0), n, pairs=True)
-            d = np.where(live, gold - p, 0.0)
-            grad = np.bincount(ids.ravel(), weights=np.broadcast_to(d, ids.shape).ravel(), minlength=len(keys)) - 1e-3 * weights
-            grad[keys == 0] = 0.0
-            squares += grad * grad
-            weights += rate * grad / np.sqrt(squares)
-            before, after, both = gold[:-1], gold[1:], live[1:]
-            seen = np.array([[((1 - before) * (1 - after) * both).sum(), ((1 - before) * after * both).sum()], [(before * (1 - after) * both).sum(), (before * after * both).sum()]])
-            g = seen - joint - 1e-2 * field.chain
-            chain_squares += g * g
-            field.chain += rate * g / np.sqrt(chain_squares)
-            bias_square += d.sum() ** 2
-            field.bias += rate * d.sum() / np.sqrt(bias_square)
-    strong = np.abs(weights) > 0.05
-    field.keys, field.weights = keys[strong], weights[strong]
+        return empty
+    keys = _features_kept(rows, text_of)
+    index = np.empty(rows.shape, np.int32)
+    for i, row in enumerate(rows):
+        place = np.searchsorted(keys, row)
+        place[place == len(keys)] = 0
+        index[i] = np.where(keys[place] == row, place, 0)
+    del rows
+    field = Field(keys, np.zeros((3, len(keys))), -6.0, np.zeros((2, 2)))
+    learner, rng = _Learner(field, index, first, rate), np.random.default_rng(3)
+
+    def to_tokens(docs, of, at, live, p, joint, clean, n):
+        gold = np.where(live, y[at], 0).astype(float)
+        before, after, both = gold[:-1], gold[1:], live[1:]
+        seen = np.array([[((1 - before) * (1 - after) * both).sum(), ((1 - before) * after * both).sum()], [(before * (1 - after) * both).sum(), (before * after * both).sum()]])
+        return np.where(live, gold - p, 0.0), seen - joint.sum(2)
+
+    def to_documents(docs, of, at, live, p, joint, clean, n):
+        # The gradient of the label's log likelihood: the posterior of the tokens
+        # given the label less their marginals is a multiple of the marginals.
+        none = np.exp(np.bincount(of, weights=clean, minlength=len(docs)))
+        sure = 1 - 2 * NOISE
+        some = NOISE + sure * (1 - none)
+        pull = np.where(toxic[docs], sure * none / some, -sure * none / (1 - some))[of]
+        pairs = joint * pull
+        lost = np.array([[((n - 1) * pull).sum(), 0.0], [0.0, 0.0]])
+        return p * pull, pairs.sum(2) - lost
+
+    for i in range(SEED_ROUNDS + rounds):
+        for docs in learner.batches(rng):
+            learner.step(docs, to_tokens if i < SEED_ROUNDS else to_documents)
+    strong = np.abs(field.weights).max(0) > 0.05
+    strong[0] = False
+    field.keys, field.weights = keys[strong], field.weights[:, strong]
     return field
 
 
@@ -216,9 +300,10 @@ def score(df: DataFrame, field: Field, text: str = "text", spans: bool = True) -
     """All columns of ``df`` without ``text``, ``score``, and with ``spans`` the
     offending words: byte offsets in the UTF-8 text and their marginals.
 
-    The score is the marginal of a text's most offending word.  Null texts, and
-    texts without a word, score 0 and have no spans.  Whole texts are scored, in
-    sequences of 64 words; rows pass one by one (no shuffle), so repeated rows,
+    The score is the greatest probability, over sequences of 64 words, that some
+    word is toxic.  Null texts,
+    and texts without a word, score 0 and have no spans.  Whole texts are scored,
+    however long; rows pass one by one (no shuffle), so repeated rows,
     null ids and empty tables need no care.  Existing columns ``score`` and
     ``spans`` are replaced.
     """
@@ -236,10 +321,10 @@ def score(df: DataFrame, field: Field, text: str = "text", spans: bool = True) -
             for a, b in text_slices(column):
                 w, hashes = features(column.slice(a, b - a))
                 start, size, bound = sequences(w.first)
-                p = np.zeros((SEQUENCE, 0))
+                p, clean = np.zeros((SEQUENCE, 0)), np.zeros(0)
                 if len(start):
-                    p, _ = field.marginals(_grid(field.emissions(hashes), start, size), size)
-                top = np.concatenate([p.max(0), [0.0]])
+                    p, _, clean = field.marginals(_grid(field.emissions(hashes, w.first), start, size), size)
+                top = np.append(1 - np.exp(clean), 0.0)
                 best = np.maximum.reduceat(top, np.minimum(bound[:-1], len(top) - 1)) if b > a else top[:0]
                 scores += np.where(bound[1:] > bound[:-1], best, 0.0).tolist()
                 if spans:

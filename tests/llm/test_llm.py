@@ -36,12 +36,33 @@ def test_token_counts(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    rows = [*ODD, (11, " \n  a   b\n\n" * 20_000 + "it's <|endoftext|>" * 3000, "en", "a")]
-    got = token_counts.count_tokens(docs_of(spark, rows), part_chars=1000, batch_bytes=5000).collect()
+    rows = [*ODD, (11, " \n  a   b\n\n" * 20_000 + "it's <|endoftext|>" * 3000, "en", "a"), (12, "漢字、かな。" * 5000 + "a\tb" * 2000, "ja", "a")]
+    got = token_counts.count_tokens(docs_of(spark, rows), part_bytes=1000, batch_bytes=5000).collect()
     want = sorted((r[0] or 0, len((r[1] or "").encode()), len(t.encode(r[1] or "", add_special_tokens=False).ids)) for r in rows)
     assert sorted((r["doc_id"] or 0, r["n_bytes"], r["n_tokens"]) for r in got) == want
     assert token_counts.count_tokens(docs_of(spark, [])).count() == 0
-    assert "".join(token_counts.safe_parts(rows[-1][1], 77)) == rows[-1][1]
+    for _, text, *_ in rows[-2:]:
+        parts = token_counts.safe_parts(text, 77)
+        assert "".join(parts) == text and max(map(len, parts)) < 200
+    assert max(len(p.encode()) for p in token_counts.safe_parts("漢字、" * 30_000, 1000)) < 1100
+
+
+def test_safe_parts_of_any_text():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(1)
+    for _ in range(500):
+        text = "".join(rng.choice(["漢", "な", "。", "，", "「", "」", "a", "B", " ", "1", "½", "\t", "\n", "'", "é", "<|endoftext|>", "s", "…", "_", "\u3000", "\u0301"]) for _ in range(rng.randint(1, 60)))
+        parts = token_counts.safe_parts(text, rng.randint(1, 20))
+        assert sum(len(e.ids) for e in t.encode_batch(parts, add_special_tokens=False)) == len(t.encode(text, add_special_tokens=False).ids)
+
+
+def test_slices_are_bounded_by_bytes():
+    sizes = [token_counts.n_bytes(x) for x in ("漢" * 100, "a" * 100, "é" * 100, "", "b" * 700)]
+    assert sizes == [300, 100, 200, 0, 700]
+    assert list(token_counts.slices(["x"] * 5, sizes, 600)) == [(0, 4), (4, 5)]
 
 
 def lowered(s):
@@ -59,13 +80,30 @@ def test_exact_dedup(spark, tmp_path, bits):
     want = []
     for text, ids in groups.items():
         keep = max((i for i in ids if i is not None), default=None)
-        want += [(i, keep, len(ids), i == keep, hashlib.sha256(text.encode()).hexdigest()) for i in ids]
+        # Of repeated rows with the id that stays, one is kept.
+        want += [(i, keep, len(ids), i == keep and k == ids.index(i), hashlib.sha256(text.encode()).hexdigest()) for k, i in enumerate(ids)]
     key = lambda r: tuple(map(str, r))
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
     docs_of(spark, []).write.parquet(str(tmp_path / "e"))
     assert exact_dedup.exact_dedup(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_exact_dedup_goes_on_from_kept_state(spark, tmp_path):
+    """A second call reads the new files only and finds copies of the first ones'."""
+    path, state = str(tmp_path / "some docs"), str(tmp_path / "state")
+    texts = {}
+    for start in (0, 100):
+        rows = [(start + i, f"text {i % 30} {'x' * (i % 3) * start}", "en", "a") for i in range(60)]
+        texts |= {r[0]: r[1] for r in rows}
+        docs_of(spark, rows).repartition(2).write.mode("append").parquet(path)
+        got = exact_dedup.exact_dedup(spark, path + "/", state=state).collect()
+        with pytest.raises(ValueError, match="pattern"):
+            exact_dedup.exact_dedup(spark, path + "[1]")
+        assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in got} == {
+            i: ((k := max(j for j in texts if texts[j] == x)), sum(y == x for y in texts.values()), i == k) for i, x in texts.items()
+        }
+
+
 def test_chat_format_round_trip(spark):
     rows = [(1, 0, "user", "a <b> \\l \\b </turn>\n"), (1, 1, "assistant", "<turn:user>\\"), (1, 1, "assistant", "<turn:user>\\"), (1, None, None, None), (2, 5, "as>si\\st", "é😀"), (None, 0, "assistant", "")]
     turns = spark.createDataFrame([(*r, "z") for r in rows], "conv_id bigint, turn bigint, role string, text string, head string")
@@ -97,6 +135,19 @@ def test_mixing(spark):
     assert mixing.mix(docs_of(spark, []), [3, 1, 2]).count() == 0
 
 
+def test_mixing_of_one_repeated_row(spark, monkeypatch):
+    """100,000 identical rows with one id: no bucket holds more than its share, and
+    half of them are taken twice."""
+    monkeypatch.setattr(common, "REPEATS", 7000)
+    docs = docs_of(spark, [(5, "a b c", "en", "a")]).crossJoin(spark.range(100_000)).drop("id")
+    docs = docs.unionByName(docs_of(spark, [(7, "d e f", "en", "b"), (7, "d e f", "en", "b")]))
+    got = mixing.mix(docs, {"a": 1, "b": 0.0}).groupBy("doc_id", "taken").count().collect()
+    assert {tuple(r) for r in got if r["doc_id"] == 5} == {(5, 3, 50_000), (5, 6, 50_000)} or sum(r["taken"] * r["count"] for r in got) == pytest.approx(1.5 * 300_006, rel=1e-3)
+    cells = sharding.shard_rows(docs).groupBy("doc_id", "shard").count().collect()
+    assert sum(r["count"] for r in cells) == 100_002
+    assert max(sum(r["count"] for r in cells if r["shard"] == j) for j in range(24)) <= 4168
+
+
 def check_mix(run, near):
     taken = {}
     for r in run:
@@ -111,11 +162,37 @@ def check_mix(run, near):
 def test_flight_keeps_both_sums():
     rng = random.Random(1)
     for _ in range(200):
-        units = [[rng.uniform(0.05, 0.95), rng.choice([3, 3, 8, 50])] for _ in range(3)]
-        before = (sum(p for p, _ in units), sum(p * n for p, n in units))
-        mixing.fly(units, rng)
-        assert any(p in (0, 1) for p, _ in units)
-        assert np.allclose(before, (sum(p for p, _ in units), sum(p * n for p, n in units)))
+        n = rng.choice([2, 3, 3, 10, 200])
+        p, size = np.array([rng.uniform(0.05, 0.95) for _ in range(n)]), np.array([rng.choice([3, 3, 8, 50]) for _ in range(n)], dtype=float)
+        if n == 2:
+            size[:] = 7
+        before = (p.sum(), (p * size).sum())
+        assert mixing.fly(p, size, rng)
+        assert (p * (1 - p) == 0).any() and np.allclose(before, (p.sum(), (p * size).sum()))
+    assert not mixing.fly(np.array([0.5, 0.5]), np.array([1.0, 2.0]), rng)
+
+
+@pytest.mark.parametrize("n", [10, 50, 400, 2000])
+def test_nearly_all_units_fly(monkeypatch, n):
+    """Few units are left to land; words and documents come out as expected, and
+    each unit as often as its probability says."""
+    flights, fly = [], mixing.fly
+    monkeypatch.setattr(mixing, "fly", lambda *a: flights.append(1) or fly(*a))
+    sizes = random.Random(n).choices(range(1, 400), k=n)
+    taken, runs = np.zeros(n), 100 if n < 1000 else 20
+    for seed in range(runs):
+        rng = random.Random(seed)
+        units = [[0.37, s, i] for i, s in enumerate(sizes)]
+        still = mixing.fly_all(units, rng, mixing.LANDED)
+        assert len(still) <= min(mixing.LANDED, max(6, n // 3)) and all(x[0] in (0, 1) for x in units if x not in still)
+        mixing.land(still, rng)
+        assert n < 50 or abs(sum(x[0] for x in units) - 0.37 * n) <= 1.01
+        assert n < 50 or abs(sum(x[0] * x[1] for x in units) - 0.37 * sum(sizes)) <= 60
+        for x in units:
+            taken[x[2]] += x[0]
+    assert len(flights) >= runs * (n - mixing.LANDED) * 0.9
+    assert len(flights) > 0
+    assert n < 50 or abs(taken / runs - 0.37).mean() < 0.15
 
 
 def test_sharding(spark):
@@ -245,23 +322,77 @@ def test_toxicity_sample_takes_long_texts_whole(spark, monkeypatch):
 
 def test_crf_marginals_against_all_paths():
     rng = np.random.default_rng(2)
-    field = toxicity.Field(np.zeros(0, np.uint64), np.zeros(0), 0.0, rng.normal(size=(2, 2)))
+    field = toxicity.Field(np.zeros(0, np.uint64), np.zeros((3, 0)), 0.0, rng.normal(size=(2, 2)))
     emit, size = rng.normal(size=(5, 2)), np.array([5, 3])
-    p, joint = field.marginals(emit, size, pairs=True)
-    both = np.zeros((2, 2))
+    p, joint, clean = field.marginals(emit, size)
     for s, n in enumerate(size):
-        total, ones = 0.0, np.zeros(n)
+        total, ones, none = 0.0, np.zeros(n), 0.0
         pair = np.zeros((2, 2))
         for path in range(1 << n):
             y = [path >> i & 1 for i in range(n)]
             v = np.exp(sum(emit[i, s] * y[i] for i in range(n)) + sum(field.chain[a, b] for a, b in zip(y, y[1:])))
             total += v
+            none += v * (not any(y))
             ones += v * np.array(y)
             for a, b in zip(y, y[1:]):
                 pair[a, b] += v
-        assert np.allclose(p[:n, s], ones / total)
-        both += pair / total
-    assert np.allclose(joint, both)
+        assert np.allclose(p[:n, s], ones / total) and np.allclose(joint[:, :, s], pair / total)
+        assert np.allclose(clean[s], np.log(none / total))
+
+
+def test_toxicity_beats_the_word_list(spark):
+    """On held-out documents the field is right more often than "has a word that the
+    likelihood-ratio test names", the labels it began with."""
+    bad, rng, sample = [f"bad{i}ly" for i in range(12)], random.Random(8), []
+    for i in range(3000):
+        body = words(60, i, 1500).split()
+        toxic = rng.random() < 0.15
+        for _ in range(rng.randint(1, 3) if toxic else 0):
+            body[rng.randrange(60)] = rng.choice(bad)
+        if not toxic and rng.random() < 0.02:  # a wrong label
+            toxic = True
+        sample.append((int(toxic), " ".join(body)))
+    train, held = sample[:2000], sample[2000:]
+    y = np.array([k for k, _ in held])
+    rows, first, toxic = toxicity.prepare(train)
+    named = np.unique(rows[0][toxicity.mark(rows, np.repeat(np.arange(len(toxic)), np.diff(first)), toxic)])
+    w, own = toxicity.features(pa.array([x for _, x in held]))
+    listed = np.bincount(w.text_of(), weights=np.isin(own[0], named), minlength=len(held)) > 0
+    field = toxicity.train(train)
+    docs = spark.createDataFrame([(i, x) for i, (_, x) in enumerate(held)], "doc_id bigint, text string")
+    scores = np.array([r["score"] for r in toxicity.score(docs, field).orderBy("doc_id").collect()])
+    loss = lambda q: -np.log(np.where(y == 1, q, 1 - q).clip(0.01, 0.99)).mean()
+    assert ((scores >= 0.3) == y).mean() >= (listed == y).mean() and loss(scores) < loss(listed)
+
+
+def test_document_gradient():
+    """The pull on a word is the derivative of the label's log likelihood."""
+    rng = np.random.default_rng(3)
+    field = toxicity.Field(np.zeros(0, np.uint64), np.zeros((3, 0)), 0.0, rng.normal(size=(2, 2)))
+    emit, size = rng.normal(size=(6, 2)) - 1, np.array([6, 4])
+    sure = 1 - 2 * toxicity.NOISE
+
+    def likelihood(y):
+        none = np.exp(field.marginals(emit, size)[2].sum())
+        some = toxicity.NOISE + sure * (1 - none)
+        return np.log(some if y else 1 - some), (sure * none / some if y else -sure * none / (1 - some))
+
+    for y in (0, 1):
+        p, joint, _ = field.marginals(emit, size)
+        pull = likelihood(y)[1]
+        for at in ((2, 0), (0, 1)):
+            emit[at] += 1e-5
+            up = likelihood(y)[0]
+            emit[at] -= 2e-5
+            down = likelihood(y)[0]
+            emit[at] += 1e-5
+            assert np.isclose((up - down) / 2e-5, pull * p[at], atol=1e-5)
+        field.chain[0, 0] += 1e-5
+        up = likelihood(y)[0]
+        field.chain[0, 0] -= 2e-5
+        down = likelihood(y)[0]
+        field.chain[0, 0] += 1e-5
+        assert np.isclose((up - down) / 2e-5, pull * (joint[0, 0].sum() - (size - 1).sum()), atol=1e-5)
 
 
 def brute_spans(texts):
