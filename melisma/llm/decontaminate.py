@@ -19,8 +19,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bound_batches, table
+from .common import bound_batches, table, work_dir, written
 from .textvec import Words, text_slices, words_of
 
 #: Words of half a passage; a benchmark text is cut into pieces of as many words
@@ -35,11 +36,13 @@ COSINE, COVER = 0.3, 0.4
 VERBATIM, PARAPHRASE, ANSWER, ANSWER_WORDS = 0.7, 0.5, 0.8, 8
 #: Values of the blocks' bases (64 MB) that one search takes at a time.
 SEARCH_VALUES = 8_000_000
+#: Words whose document frequencies one pass counts.
+VOCABULARY = 4_000_000
 
 
 @dataclass
 class Pieces:
-    """The benchmark's pieces, or a block of them."""
+    """A block of the benchmark's pieces."""
 
     item: np.ndarray  # item id of each piece
     words: list[np.ndarray]  # word hashes in order
@@ -49,22 +52,45 @@ class Pieces:
     basis: np.ndarray | None = None  # vocabulary x rank
 
 
-def benchmark_pieces(bench: DataFrame, item_id: str, text: str) -> Pieces:
-    """Cut the benchmark's texts.  The benchmark is the query set: its rows come
-    to the driver, block by block of a stated size if there are many."""
-    frame = bench.select(F.col(item_id).alias("item"), F.col(text).cast("string").alias("text")).where("item IS NOT NULL AND text IS NOT NULL").distinct().orderBy("item", "text").toPandas()
-    w = words_of(pa.array(frame["text"].tolist(), pa.large_string()))
-    item, words = [], []
-    for i, name in enumerate(frame["item"].tolist()):
-        own = w.hash[w.first[i] : w.first[i + 1]]
-        # Halves two by two, so that pieces overlap by half as passages do.
-        halves = np.array_split(own, 2 * max(1, round(len(own) / (2 * HALF))))
-        for part in [own] if len(halves) == 2 else [np.concatenate(x) for x in zip(halves, halves[1:])]:
-            if len(part):
-                item.append(name)
-                words.append(part)
-    vocab = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
-    return Pieces(np.array(item, dtype=np.int64), words, vocab, np.ones(len(vocab)))
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of item texts: ``item, nth, words``."""
+    for batch in batches:
+        w = words_of(batch.column(1))
+        item, nth, words = [], [], []
+        for i, name in enumerate(batch.column(0).to_pylist()):
+            own = w.hash[w.first[i] : w.first[i + 1]].view(np.int64)
+            # Halves two by two, so that pieces overlap by half as passages do.
+            halves = np.array_split(own, 2 * max(1, round(len(own) / (2 * HALF))))
+            for k, part in enumerate([own] if len(halves) == 2 else [np.concatenate(x) for x in zip(halves, halves[1:])]):
+                if len(part):
+                    item.append(name)
+                    nth.append(k)
+                    words.append(part)
+        yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(nth, pa.int32()), pa.array(words, pa.list_(pa.int64()))], names=["item", "nth", "words"])
+
+
+def benchmark_pieces(bench: DataFrame, item_id: str, text: str, path: str) -> DataFrame:
+    """The benchmark's texts cut into pieces, as a written table ``item, nth, words``."""
+    known = bench.select(F.col(item_id).cast("bigint").alias("item"), F.col(text).cast("string").alias("text")).where("item IS NOT NULL AND text IS NOT NULL").distinct()
+    return written(known.mapInArrow(_cut, "item bigint, nth int, words array<bigint>"), path)
+
+
+def blocks_of(pieces: DataFrame, vocab: np.ndarray, idf: np.ndarray) -> Iterator[Pieces]:
+    """Blocks of ``RANK`` pieces, in order; the driver holds one at a time."""
+    held: list[tuple] = []
+
+    def block() -> Pieces:
+        words = [np.array(w, np.int64).view(np.uint64) for _, w in held]
+        own = np.unique(np.concatenate(words))
+        return Pieces(np.array([i for i, _ in held], np.int64), words, own, idf[np.searchsorted(vocab, own)])
+
+    for r in pieces.orderBy("item", "nth", "words").toLocalIterator():
+        held.append((r["item"], r["words"]))
+        if len(held) == RANK:
+            yield block()
+            held.clear()
+    if held:
+        yield block()
 
 
 def _places(w: Words, vocab: np.ndarray, maybe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,12 +135,13 @@ def document_frequencies(docs: DataFrame, vocab: np.ndarray) -> tuple[np.ndarray
 
 
 def _rows(words: list[np.ndarray], vocab: np.ndarray, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each piece as a sparse row: places in the vocabulary and idf weights, a
-    word counting once."""
+    """Each piece as a sparse row: places in the vocabulary and TF-IDF weights, a
+    word that occurs n times counting 1 + log n times."""
     out = []
     for own in words:
-        place = np.searchsorted(vocab, np.unique(own))
-        out.append((place, idf[place]))
+        some, count = np.unique(own, return_counts=True)
+        place = np.searchsorted(vocab, some)
+        out.append((place, idf[place] * (1 + np.log(count))))
     return out
 
 
@@ -177,37 +204,43 @@ class _Block:
     def __init__(self, pieces: Pieces) -> None:
         rows = _rows(pieces.words, pieces.vocab, pieces.idf)
         self.item, self.vocab = pieces.item, pieces.vocab
-        self.weight2 = pieces.idf**2
+        # The most that one occurrence of a word can add to a product with a piece.
+        self.reach = np.zeros(len(pieces.vocab))
+        for place, weight in rows:
+            self.reach[place] = np.maximum(self.reach[place], weight)
+        self.reach *= pieces.idf
         self.norm2 = np.array([(w * w).sum() for _, w in rows])
         self.latent_norm = np.linalg.norm(pieces.latent, axis=1)
         self.unit = pieces.latent / np.maximum(self.latent_norm, 1e-12)[:, None]
-        # By Cauchy-Schwarz a passage covers no piece if its own weight is below this.
+        # A passage whose words reach less than this covers no piece.
         self.least = COVER * self.norm2.min(initial=np.inf) * 0.999
         self.projected = pieces.idf[:, None] * pieces.basis
         self.ordered = [x.view(np.int64).tolist() for x in pieces.words]
 
-    def passages(self, w: Words, at: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """Text, first word and vocabulary places of each passage heavy enough."""
+    def passages(self, w: Words, at: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Text, first half, vocabulary places and term factors of each passage heavy
+        enough."""
         of = np.searchsorted(w.first, at, "right") - 1
         half = (at - w.first[of]) // HALF
         key = of.astype(np.int64) << 32 | half
         keys, start = np.unique(key, return_index=True)
         end = np.append(start[1:], len(key))
-        mass = np.add.reduceat(self.weight2[place], start) if len(start) else np.zeros(0)
+        mass = np.add.reduceat(self.reach[place], start) if len(start) else np.zeros(0)
         for i, k in enumerate(keys.tolist()):
             j = i + 1 if i + 1 < len(keys) and keys[i + 1] == k + 1 else i
             alone = i == 0 or keys[i - 1] != k - 1
             if j == i and not alone:
                 continue  # the passage before has this half
             if mass[i] + (mass[j] if j > i else 0.0) >= self.least:
-                yield k >> 32, k & 0xFFFFFFFF, np.unique(place[start[i] : end[j]])
+                own, count = np.unique(place[start[i] : end[j]], return_counts=True)
+                yield k >> 32, k & 0xFFFFFFFF, own, 1 + np.log(count)
 
     def candidates(self, w: Words, at: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
         """Text, first half, piece and cosine of passages near a piece."""
         heavy = list(self.passages(w, at, place))
         for c in range(0, len(heavy), 512):
             some = heavy[c : c + 512]
-            mine = np.stack([self.projected[p].sum(0) for _, _, p in some])
+            mine = np.stack([tf @ self.projected[p] for _, _, p, tf in some])
             dots = mine @ self.unit.T
             cos = dots / np.maximum(np.linalg.norm(mine, axis=1), 1e-12)[:, None]
             cover = dots * self.latent_norm / self.norm2
@@ -215,7 +248,7 @@ class _Block:
                 yield some[i][0], some[i][1], k, float(cos[i, k])
 
 
-def _search(blocks: list[_Block]):
+def _search(blocks: list[_Block], names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = np.unique(np.concatenate([block.vocab for block in blocks]))
         maybe, inside = _bitmap(vocab), []
@@ -224,8 +257,8 @@ def _search(blocks: list[_Block]):
             own[np.searchsorted(vocab, block.vocab)] = np.arange(len(block.vocab))
             inside.append(own)
         for batch in batches:
-            for a, b in text_slices(batch.column(1)):
-                w = words_of(batch.column(1).slice(a, b - a))
+            for a, b in text_slices(batch.column(0)):
+                w = words_of(batch.column(0).slice(a, b - a))
                 found: dict[tuple[int, int], tuple] = {}
                 at, place = _places(w, vocab, maybe)
                 for block, own in zip(blocks, inside, strict=True):
@@ -242,59 +275,69 @@ def _search(blocks: list[_Block]):
                         if share >= VERBATIM or (share >= PARAPHRASE and said >= ANSWER):
                             key = (text, int(block.item[k]))
                             found[key] = max(found.get(key, (0.0, 0.0, 0.0)), (share, said, cos))
-                ids = batch.column(0).slice(a, b - a)
                 keys = list(found)
+                rows = pa.array([a + t for t, _ in keys], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array([t for t, _ in keys], pa.int64())), pa.array([k for _, k in keys], pa.int64()), *(pa.array([found[k][i] for k in keys], pa.float64()) for i in range(3))],
-                    names=["doc_id", "item_id", "lcs_share", "answer_share", "cosine"],
+                    [*(batch.column(i + 1).take(rows) for i in range(len(names))), pa.array([k for _, k in keys], pa.int64()), *(pa.array([found[k][i] for k in keys], pa.float64()) for i in range(3))],
+                    names=[*names, "item_id", "lcs_share", "answer_share", "cosine"],
                 )
 
     return run
 
 
-def leaks(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``doc_id, item_id, lcs_share, answer_share, cosine``: one row for each
-    document (row) and benchmark item of which it holds a piece.
+def leaks(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, the columns of ``keep``, and ``item_id, lcs_share, answer_share,
+    cosine``: one row for each document (row) and benchmark item of which it holds a
+    piece.
 
     Null and empty texts leak nothing and null or empty items are found nowhere;
-    repeated rows of ``docs`` each give their rows, repeated items one.  Rows with
-    a null id are searched too and give a null id.  An empty table gives no rows.
-    Other columns are not read.
-
-    Two passes over the texts without a shuffle of them: one counts document
-    frequencies, one searches.  The benchmark goes to the tasks in blocks of
-    ``RANK`` pieces, all of them against all documents, and a search takes as many
-    blocks as have ``SEARCH_VALUES`` values in their bases.
+    repeated rows of ``docs`` each give their rows, repeated items one.  Of pieces of
+    one item, and of equal passages, the best counts by share, answer and cosine in
+    this order, so ties can't be seen.  Rows with a null id are searched too and give
+    a null id.  Very long texts are searched whole.  An empty table gives no rows.
+    Other columns are not read and may have any name.
+
+    Passes over the texts without a shuffle of them: one for document frequencies,
+    one for each search.  The benchmark goes to the tasks in blocks of ``RANK``
+    pieces, all of them against all documents; a search takes as many blocks as have
+    ``SEARCH_VALUES`` values in their bases.  The driver holds the benchmark's
+    vocabulary (16 bytes a word) and the blocks of one search.
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    schema = "doc_id bigint, item_id bigint, lcs_share double, answer_share double, cosine double"
-    every = benchmark_pieces(bench, item_id, item_text)
+    path = work_dir(spark, "leaks")
+    names = ["doc_id", *(f"__keep{i}" for i in range(len(keep)))]
+    rows = docs.select(F.col(text).cast("string").alias("text"), F.col(doc_id).cast("bigint").alias("doc_id"), *(F.col(c).alias(f"__keep{i}") for i, c in enumerate(keep)))
+    schema = T.StructType([*(rows.schema[c] for c in names), T.StructField("item_id", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("lcs_share", "answer_share", "cosine"))])
+    pieces = benchmark_pieces(bench, item_id, item_text, f"{path}/pieces")
+    words = pieces.select(F.explode("words").alias("w")).distinct().toPandas()["w"].to_numpy(np.int64)
+    vocab = np.sort(words.view(np.uint64))
+    results: list[DataFrame] = []
+    if len(vocab):
+        idf = np.empty(len(vocab))
+        for i in range(0, len(vocab), VOCABULARY):
+            df, n = document_frequencies(rows.select("text"), vocab[i : i + VOCABULARY])
+            idf[i : i + VOCABULARY] = np.log((n + 1) / (df + 1)) + 1e-3
+        held, values, parts = [], 0, blocks_of(pieces, vocab, idf)
+        part = next(parts, None)
+        while part:
+            part.basis = randomised_svd(spark, part)
+            part.latent = np.stack([weight @ part.basis[place] for place, weight in _rows(part.words, part.vocab, part.idf)])
+            held.append(_Block(part))
+            values += part.basis.size
+            part = next(parts, None)
+            # All pieces of an item are in one search, which keeps the best of them.
+            if part is None or (values >= SEARCH_VALUES and part.item[0] != held[-1].item[-1]):
+                found = rows.mapInArrow(_search(held, names), schema)
+                # Of several searches each is written, so that its blocks can go.
+                results.append(found if part is None and not results else written(found, f"{path}/search-{len(results)}"))
+                held, values = [], 0
     out = spark.createDataFrame([], schema)
-    if not every.words:
-        return out
-    df, n = document_frequencies(rows.select("text"), every.vocab)
-    every.idf = np.log((n + 1) / (df + 1)) + 1e-3
-    searches, values = [[]], 0
-    for i in range(0, len(every.words), RANK):
-        words = every.words[i : i + RANK]
-        vocab = np.unique(np.concatenate(words))
-        part = Pieces(every.item[i : i + RANK], words, vocab, every.idf[np.searchsorted(every.vocab, vocab)])
-        part.basis = randomised_svd(spark, part)
-        part.latent = np.stack([weight @ part.basis[place] for place, weight in _rows(words, vocab, part.idf)])
-        if searches[-1] and values + part.basis.size > SEARCH_VALUES:
-            searches.append([])
-            values = 0
-        searches[-1].append(_Block(part))
-        values += part.basis.size
-    results = [rows.mapInArrow(_search(blocks), schema) for blocks in searches]
-    out = results[0]
+    if results:
+        out = results[0]
     for more in results[1:]:
         out = out.unionByName(more)
-    if len(results) > 1:
-        best = F.max(F.struct("lcs_share", "answer_share", "cosine")).alias("b")
-        out = out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.lcs_share", "b.answer_share", "b.cosine")
+    out = out.select("doc_id", *(F.col(f"__keep{i}").alias(c) for i, c in enumerate(keep)), "item_id", "lcs_share", "answer_share", "cosine")
     return out
 
 
