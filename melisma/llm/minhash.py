@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, drop_path, only_keys, table, work_dir, written
+from .common import bound_batches, drop_path, small_enough, table, work_dir, written
 from .graph import connected_components
 from .textvec import mix64, raw_bytes, shingles, text_slices, words_of
 
@@ -38,6 +38,9 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ui
 _LEAST_AGREEMENT = 0.8 - 5 * math.sqrt(0.8 * 0.2 / K)
 #: Texts, and bytes of text, that one verification task takes together.
 BLOCK_TEXTS, BLOCK_BYTES = 1500, 8 << 20
+#: Texts to verify whose keys (some 100 bytes each) are broadcast to the scan; with
+#: more of them the texts are joined by shuffle.
+BROADCAST_NODES = 500_000
 
 
 def weighted_sets(h: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,8 +139,8 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b in text_slices(batch.column(1)):
-            column = batch.column(1).slice(a, b - a)
+        for a, b in text_slices(batch.column(0)):
+            column = batch.column(0).slice(a, b - a)
             raw, offsets = raw_bytes(column)
             words = words_of(column)
             elements, weights, bound = weighted_sets(*shingles(words, SHINGLE))
@@ -150,7 +153,11 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = np.frombuffer(b"".join(full), np.int64).reshape(-1, 2)
             some = np.diff(bound) > 0
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]), pa.int32()), pa.array(keys[some].ravel(), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), pa.array(np.diff(offsets), pa.int64()), bands], names=["id", "k1", "k2", "n_bytes", "bands"])
+            others = range(1, batch.num_columns)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i).slice(a, b - a) for i in others), pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), pa.array(np.diff(offsets), pa.int64()), bands],
+                names=[*(batch.schema.names[i] for i in others), "k1", "k2", "n_bytes", "bands"],
+            )
 
 
 def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
@@ -163,11 +170,11 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
     return low / high if high else 0.0
 
 
-def link(texts: list[str], least: float = SIMILARITY) -> np.ndarray:
+def link(texts: list[str], least: float = SIMILARITY, known: np.ndarray | None = None) -> np.ndarray:
     """The class of each text, as the place of its first member: components of
     the pairs that share a band and are at least ``least`` similar.
 
-    Pairs already in one class need no test.  The text that shares bands with
+    Pairs already in one class, to begin with those of equal ``known``, need no test.  The text that shares bands with
     most others, as an original does with its copies, goes first in each bucket.
     """
     n = len(texts)
@@ -175,7 +182,7 @@ def link(texts: list[str], least: float = SIMILARITY) -> np.ndarray:
     sig = signatures(elements, weights, bound)
     keys = band_keys(sig)
     keys[np.diff(bound) == 0] = np.arange(n)[np.diff(bound) == 0, None]
-    root = np.arange(n)
+    root = np.arange(n) if known is None else np.unique(known, return_index=True)[1][np.unique(known, return_inverse=True)[1]]
     total = np.array([weights[bound[i] : bound[i + 1]].sum() for i in range(n)])
     orders = np.argsort(keys, axis=0, kind="stable")
     degree, buckets = np.zeros(n, np.int64), []
@@ -208,62 +215,128 @@ def link(texts: list[str], least: float = SIMILARITY) -> np.ndarray:
 
 
 def _verify(frame: pd.DataFrame) -> pd.DataFrame:
+    """Edges from each text of a task to the first of its class."""
     frame = frame.sort_values("node", kind="stable")
     nodes = frame["node"].to_numpy()
-    root = link(frame["text"].fillna("").tolist())
-    return pd.DataFrame({"a": nodes, "b": nodes[root], "blocks": frame["blocks"].to_numpy()})
+    root = link(frame["text"].fillna("").tolist(), known=frame["cls"].to_numpy())
+    return pd.DataFrame({"a": nodes, "b": nodes[root]})
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: the id, ``class_id`` (the least id of its class)
-    and ``kept`` (whether it is that document).
+def _star(frame: pd.DataFrame) -> pd.DataFrame:
+    """Edges from the texts of a task to their lead, where they are similar."""
+    frame = frame.sort_values("node", kind="stable")
+    elements, weights, bound = weighted_sets(*shingles(words_of(pa.array(frame["text"].fillna("").tolist(), pa.large_string())), SHINGLE))
+    nodes, lead = frame["node"].to_numpy(), int(frame["lead"].iloc[0])
+    at = int(np.flatnonzero(nodes == lead)[0])
+    own = slice(bound[at], bound[at + 1])
+    near = [i != at and similarity(elements[own], weights[own], elements[bound[i] : bound[i + 1]], weights[bound[i] : bound[i + 1]]) >= SIMILARITY for i in range(len(nodes))]
+    return pd.DataFrame({"a": nodes[near], "b": np.full(sum(near), lead)})
+
+
+def _star_edges(placed: DataFrame) -> DataFrame:
+    """Of ``node, key``, an edge from each node to the least of each of its keys."""
+    leads = placed.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("other")).where("lead <> other").select("key", "lead")
+    return placed.join(leads, "key").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+
+
+def _in_blocks(df: DataFrame, by: str, sizes: DataFrame) -> DataFrame:
+    """``blocks`` for each ``by`` of ``df`` (``node``): so many that each has about
+    1,500 texts or 8 MB at most; ``sizes`` has ``node, n_bytes``."""
+    return df.join(sizes, "node").groupBy(by).agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n_bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+
+
+def _large_components(placed: DataFrame, sizes: DataFrame, texts, path: str) -> DataFrame:
+    """Edges ``a, b`` that make the classes of components too large for one task.
+
+    First each text is compared with one lead of each of its buckets, the member
+    that shares most buckets, as an original does with its copies: a few tests a
+    text.  Buckets whose texts are then in one class are done.  What is left of the
+    components is compared pair by pair, in blocks; that is exact, and grows with
+    the square of the texts whose buckets hold several classes.
+    """
+    spark = placed.sparkSession
+    crowd = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    placed = written(placed.join(crowd, "key"), f"{path}/placed")
+    degree = placed.groupBy("node").agg(F.sum("n").alias("degree"))
+    leads = placed.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", F.xxhash64("node"), "node"))["node"].alias("lead"))
+    pairs = written(placed.join(leads, "key").where("node <> lead").select("node", "lead").distinct(), f"{path}/pairs")
+    blocks = written(_in_blocks(pairs, "lead", sizes), f"{path}/stars")
+    dealt = pairs.join(blocks, "lead").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("node", "lead", "block")
+    own = blocks.select(F.col("lead").alias("node"), "lead", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    dealt = dealt.unionByName(own)
+    edges = written(texts(dealt).groupBy("lead", "block").applyInPandas(_star, "a bigint, b bigint"), f"{path}/near")
+
+    cls = connected_components(edges, f"{path}/stars-joined").select("node", F.col("comp").alias("cls"))
+    cls = written(placed.select("node").distinct().join(cls, "node", "left").select("node", F.coalesce("cls", "node").alias("cls")), f"{path}/classes")
+    known = placed.join(cls, "node")
+    mixed = known.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("key")
+    rest = written(known.join(mixed, "key", "left_semi").select("key", "node", "cls"), f"{path}/rest")
+    if rest.isEmpty():
+        return edges
+    comps = written(connected_components(_star_edges(rest), f"{path}/rest-joined"), f"{path}/rest-comps")
+    several = comps.join(_in_blocks(comps, "comp", sizes), "comp").join(cls, "node")
+    several = several.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = written(several.select("node", "cls", "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")), f"{path}/rest-dealt")
+    more = written(texts(dealt).groupBy("comp", "i", "j").applyInPandas(_verify, "a bigint, b bigint"), f"{path}/rest-near")
+    drop_path(spark, f"{path}/rest-dealt")
+    return edges.unionByName(more.where("a <> b"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: the id, the columns of ``keep``, ``class_id`` (the
+    least id of its class) and ``kept`` (whether it is the row of its class that stays).
 
     Texts with the same words are copies and fold into one before any pairing, on
-    the map side, so a group of copies of any size costs one row.  Documents are
-    in one class when chains of pairs of similarity 0.8 or more join them.  A null
-    text is empty; texts without a word are copies if their bytes are the same,
-    and near to nothing.  A text under five words is one shingle.  Rows with a
-    null id are compared with nothing: their class is null and they are kept.
-    Rows that share an id are one document.  An empty table gives no rows.
+    the map side, so a group of copies of any size costs one row.  Rows are in one
+    class when chains of pairs of similarity 0.8 or more join them.  A null text is
+    empty; texts without a word are copies if their bytes are the same, and near to
+    nothing.  A text under five words is one shingle; whole texts count, however
+    long.  One row of each class stays: that of the least id, null last, and of rows
+    that share it, or repeated ones, any one.  The class of null ids only is null.
+    An empty table gives no rows; other columns may have any name.
 
     Candidates: per (band, key) bucket each text is joined to the bucket's least
-    id only, so a bucket of any size gives as many edges as it has texts; the
-    components of these edges hold every pair that shares a band.  Each component
-    is verified in one task or, above 1500 texts or 8 MB, in tasks for every pair
-    of its blocks, so that no pair is lost and no task grows with the input.
+    row only, so a bucket of any size gives as many edges as it has texts; the
+    components of these edges hold every pair that shares a band.  A component is
+    verified in one task up to 1500 texts and 8 MB; for a larger one see
+    ``_large_components``.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     path = work_dir(spark, "near")
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
-    schema = rows.select("id", F.lit(0).cast("bigint").alias("k1"), F.lit(0).cast("bigint").alias("k2"), F.lit(0).cast("bigint").alias("n_bytes"), F.array(F.lit(0).cast("bigint")).alias("bands")).schema
-    signed = written(rows.mapInArrow(_sign, schema), f"{path}/signed")
-    known = signed.where("id IS NOT NULL")
-    reps = written(known.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.first("bands").alias("bands"), F.max("n_bytes").alias("n_bytes")), f"{path}/reps")
+    names = [f"__keep{i}" for i in range(len(keep))]
+    body = F.col(text).cast("string")
+    rows = docs.select(body.alias("text"), F.col(doc_id).alias("id"), F.xxhash64(body).alias("x"), *(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)))
+    schema = rows.drop("text").select("*", *(F.lit(0).cast("bigint").alias(c) for c in ("k1", "k2", "n_bytes")), F.array(F.lit(0).cast("bigint")).alias("bands")).schema
+    signed = written(rows.mapInArrow(_sign, schema).withColumn("row", F.monotonically_increasing_id()), f"{path}/signed")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "x")).alias("first")
+    reps = signed.groupBy("k1", "k2").agg(first, F.first("bands").alias("bands"), F.max("n_bytes").alias("n_bytes"), F.count(F.lit(1)).alias("n"))
+    reps = written(reps.withColumn("node", F.col("first.row")), f"{path}/reps")
     placed = reps.select("node", F.explode("bands").alias("key"))
-    leads = placed.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("other")).where("lead <> other").select("key", "lead")
-    edges = placed.join(leads, "key").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
-    comps = written(connected_components(edges, f"{path}/coarse"), f"{path}/comps")
-
-    sized = comps.join(reps.groupBy("node").agg(F.max("n_bytes").alias("n_bytes")), "node")
-    sizes = sized.groupBy("comp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n_bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    dealt = comps.join(sizes, "comp").withColumn("block", block).withColumn("other", F.explode(others))
-    dealt = written(dealt.select("node", "comp", "blocks", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")), f"{path}/dealt")
-    texts = only_keys(rows.where("id IS NOT NULL"), dealt.select(F.col("node").alias("id")).distinct(), ["id"])
-    groups = dealt.join(texts.withColumnRenamed("id", "node"), "node").groupBy("comp", "i", "j")
-    found = written(groups.applyInPandas(_verify, "a bigint, b bigint, blocks int"), f"{path}/found")
-    drop_path(spark, f"{path}/dealt")
-    alone = found.where("blocks = 1").select(F.col("a").alias("node"), F.col("b").alias("class_id"))
-    split = found.where("blocks > 1").select("a", "b")
-    if not split.isEmpty():
-        alone = alone.unionByName(connected_components(split, f"{path}/fine").select("node", F.col("comp").alias("class_id")))
-    classes = alone.groupBy("node").agg(F.min("class_id").alias("class_id"))
-    named = reps.select("k1", "k2", "node").join(classes, "node", "left").select("k1", "k2", F.coalesce("class_id", "node").alias("class_id"))
-    out = known.select("id", "k1", "k2").join(named, ["k1", "k2"]).select("id", "class_id")
-    unknown = signed.where("id IS NULL").select("id", F.lit(None).cast(signed.schema["id"].dataType).alias("class_id"))
-    return out.unionByName(unknown).select(F.col("id").alias(doc_id), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+    sizes = reps.select("node", "n_bytes")
+    comps = written(connected_components(_star_edges(placed), f"{path}/coarse"), f"{path}/comps")
+    comps = written(comps.join(_in_blocks(comps, "comp", sizes), "comp"), f"{path}/sized")
+
+    need = written(comps.join(reps, "node").select("node", "n", F.col("first.id").alias("id0"), F.col("first.x").alias("x0")), f"{path}/need")
+    sought = F.broadcast(need) if small_enough(need, BROADCAST_NODES) else need
+
+    def texts(dealt: DataFrame) -> DataFrame:
+        """``dealt`` (``node`` and more) with the texts of its nodes."""
+        found = rows.join(sought, rows["id"].eqNullSafe(sought["id0"]) & (rows["x"] == sought["x0"])).select("node", "n", "text")
+        found = found.where("n = 1").unionByName(found.where("n > 1").dropDuplicates(["node"])).drop("n")
+        return dealt.join(found, "node")
+
+    small = comps.where("blocks = 1").select("node", "comp", F.col("node").alias("cls"))
+    classes = written(texts(small).groupBy("comp").applyInPandas(_verify, "a bigint, b bigint"), f"{path}/found").select(F.col("a").alias("node"), F.col("b").alias("cls"))
+    large = comps.where("blocks > 1").select("node")
+    if not large.isEmpty():
+        edges = _large_components(placed.join(large, "node", "left_semi"), sizes, texts, f"{path}/large")
+        classes = classes.unionByName(connected_components(edges, f"{path}/fine").select("node", F.col("comp").alias("cls")))
+    named = written(reps.select("k1", "k2", "node", "first").join(classes, "node", "left").withColumn("cls", F.coalesce("cls", "node")), f"{path}/named")
+    leads = named.groupBy("cls").agg(F.min("first").alias("lead"), F.count(F.lit(1)).alias("m"))
+    shared = named.join(leads.where("m > 1").drop("m"), "cls", "left").select("k1", "k2", F.coalesce("lead", "first").alias("lead"))
+    out = signed.select("id", "row", "k1", "k2", *names).join(shared, ["k1", "k2"])
+    return out.select(F.col("id").alias(doc_id), *(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), F.col("lead.id").alias("class_id"), (F.col("row") == F.col("lead.row")).alias("kept"))
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
