@@ -35,6 +35,8 @@ LEFT = LENGTH - GRAM
 KEY = LENGTH + LEFT + 2  # right bytes, left bytes from the anchor back, both sizes
 #: A chunk of a very long text, and suffixes that one run sorts at a time.
 CHUNK, RUN_ROWS = 1 << 22, 150_000
+#: Suffixes that one bucket gets on average (170 bytes each while they are merged).
+BUCKET_ROWS = 150_000
 #: Removed spans that may be broadcast in all; beyond it they are joined by shuffle.
 BROADCAST_SPANS = 4_000_000
 _MASK = (1 << 64) - 1
@@ -406,9 +408,10 @@ def removed_spans(docs: DataFrame, path: str) -> DataFrame:
     long_enough = docs.where(F.octet_length("text") >= LENGTH)
     found = long_enough.mapInArrow(_emit_anchors, "h bigint, ord bigint, at bigint")
     again = found.repartition(shuffle_partitions(spark), "h").sortWithinPartitions("h").mapInArrow(_repeated, "ord bigint, at bigint")
-    per_doc = again.groupBy("ord").agg(F.collect_list("at").alias("at"))
+    per_doc = written(again.groupBy("ord").agg(F.collect_list("at").alias("at")), f"{path}/anchors")
+    suffixes = per_doc.agg(F.sum(F.size("at"))).first()[0] or 0
     sorted_in = docs.join(per_doc, "ord").select("ord", "text", "at")
-    buckets = 2 * shuffle_partitions(spark)
+    buckets = max(2 * shuffle_partitions(spark), -(-suffixes // BUCKET_ROWS))
     runs = sorted_in.mapInArrow(_make_runs(buckets), "bucket int, ord bigint, spans array<bigint>, run binary")
     merged = runs.repartition(buckets, "bucket").mapInArrow(_combine, "ord bigint, spans array<bigint>")
     return written(merged.groupBy("ord").agg(F.flatten(F.collect_list("spans")).alias("spans")).mapInArrow(_unite, "ord bigint, spans array<bigint>"), f"{path}/spans")
@@ -425,7 +428,8 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Texts equal to an earlier document's are known to go whole and take no part,
     so a group of copies of any size costs its digests.  Repeated anchors are found
     in a spillable sort; a task holds one run of suffixes, or one bucket's runs in
-    which each task has at most one row per different suffix.
+    which each task has at most one row per different suffix.  There are as many
+    buckets as the suffixes need, but one 32-byte string is one bucket.
     """
     spark = docs.sparkSession
     bound_batches(spark)
