@@ -483,10 +483,39 @@ def test_near_duplicates(spark, monkeypatch, block):
     for i, (doc, *_ ) in enumerate(rows):
         least = min(rows[j][0] for j in range(len(rows)) if root[j] == root[i])
         assert got[doc] == (least, least == doc)
-    assert got[None] == (None, False) or got[None][0] is None
+    least = min(rows[j][0] for j in range(len(rows)) if root[j] == root[0])
+    assert got[None] == (least, False)  # a copy like any other
     assert minhash.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_repeated_rows_and_shared_ids(spark):
+    a, b, c = words(40, 1), words(40, 2), words(40, 3)
+    rows = [(0, a), (1, a + " end"), (1, b), (7, c), (7, c), (None, a), (None, b.upper()), (None, "alone here"), (None, "alone here")]
+    got = minhash.near_duplicates(docs_of(spark, [(*r, "en", "a") for r in rows]).withColumn("nth", F.monotonically_increasing_id()), keep=("text", "nth")).collect()
+    assert len(got) == len(rows) and len({r["nth"] for r in got}) == len(rows)
+    assert sorted((str(r["doc_id"]), r["text"], r["class_id"]) for r in got if r["kept"]) == sorted([("0", a, 0), ("1", b, 1), ("7", c, 7), ("None", "alone here", None)])
+    assert {r["class_id"] for r in got if r["text"].lower() == b} == {1}
+
+
+def test_a_large_cluster_is_verified_by_its_leads(spark, monkeypatch):
+    """1,200 near copies of one text: each is compared with a few leads, not with
+    all others, and all are one class."""
+    monkeypatch.setattr(minhash, "BLOCK_TEXTS", 50)
+    base, rng, rows = words(200, 1, 10**6).split(), random.Random(2), []
+    for i in range(1200):
+        body = list(base)
+        for _ in range(2):
+            body[rng.randrange(200)] = f"new{rng.randrange(10**6)}"
+        rows.append((i, " ".join(body), "en", "a"))
+    rows.insert(600, (5000, " ".join(base), "en", "a"))
+    calls = []
+    monkeypatch.setattr(minhash, "_large_components", lambda placed, sizes, texts, path, real=minhash._large_components: calls.append(path) or real(placed, sizes, texts, path))
+    got = minhash.near_duplicates(docs_of(spark, rows)).collect()
+    assert {r["class_id"] for r in got} == {0} and sum(r["kept"] for r in got) == 1
+    pairs = spark.read.parquet(f"{calls[0]}/pairs").count()
+    assert pairs < 8 * len(rows)  # all pairs would be 600 a row
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     base, agree, want = words(400, 1, 10**6).split(), [], []
     for n in (4, 10, 30):
@@ -526,7 +555,7 @@ def test_decontamination(spark):
     assert decontaminate.leaks(docs_of(spark, rows), bench.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("n, values", [(2000, 8_000_000), (600, 1)])
+@pytest.mark.parametrize("n, values", [(200, 8_000_000), (1000, 1), (5000, 8_000_000)])
 def test_decontamination_of_many_items(spark, monkeypatch, n, values):
     """Far more pieces than the latent space has dimensions: every copy is found."""
     monkeypatch.setattr(decontaminate, "SEARCH_VALUES", values, raising=False)
@@ -535,7 +564,21 @@ def test_decontamination_of_many_items(spark, monkeypatch, n, values):
     rows = [(i, f"{words(i % 70, 20_000 + i, 3000)} {x} {words(i % 50, 30_000 + i, 3000)}", "en", "a") for i, x in enumerate(items)]
     rows += [(5000 + i, words(80, 40_000 + i, 3000), "en", "a") for i in range(300)]
     got = decontaminate.leaks(docs_of(spark, rows), bench)
-    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(i, i) for i in range(len(items))}
+    assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == [(i, i) for i in range(len(items))]
+
+
+@pytest.mark.parametrize("n", [200, 1000])
+def test_decontamination_of_many_paraphrases(spark, n):
+    """Every sixth word another one, two others swapped: 0.9 are found at least, and
+    nothing else."""
+    items, rows = [words(20 + i % 40, 60_000 + i, 3000) for i in range(n)], []
+    for i, x in enumerate(items):
+        part = [f"other{j}" if j % 6 == 1 else w for j, w in enumerate(x.split())]
+        part[3], part[4] = part[4], part[3]
+        rows.append((i, f"{words(i % 70, 70_000 + i, 3000)} {' '.join(part)} {words(i % 50, 80_000 + i, 3000)}", "en", "a"))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = [(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs_of(spark, rows), bench).collect()]
+    assert all(a == b for a, b in got) and len(got) >= 0.9 * n
 
 
 def test_decontamination_over_a_cut(spark):
@@ -594,3 +637,62 @@ def test_pipeline(spark, tmp_path):
     assert set(kept["decontamination"]) == set(kept["near_dedup"]) - set(range(300, 305))
     assert len(kept["mixing"]) > len(set(kept["mixing"])) and sorted(kept["sharding"]) == sorted(kept["mixing"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept["sharding"])
+
+
+def test_pipeline_decides_by_row(spark, tmp_path):
+    """Rows that share an id or have none, repeated rows, columns with the operators'
+    names, and empty tables."""
+    import corpus_pipeline
+
+    a, b, c = (fake_language("en", 60, k) for k in "abc")
+    rows = [(0, a), (1, a + " end"), (1, b), (7, c), (7, c), (None, a), (None, None), (3, "")]
+    docs_of(spark, [(*r, "en", None if r[0] == 7 else "s") for r in rows]).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, " ".join(b.split()[10:50]))], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    near = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path))
+    assert near.columns == docs.columns
+    kept = sorted((str(r["doc_id"]), r["text"] or "") for r in near.collect())
+    assert kept == sorted([("0", a), ("1", b), ("7", c), ("3", "")])
+    clean = corpus_pipeline.drop_benchmark(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns and clean.count() == len(rows) - 1
+    assert b not in {r["text"] for r in clean.collect()} and "1" in {str(r["doc_id"]) for r in clean.collect()}
+    mixed = corpus_pipeline.mix_sources(spark, docs, str(tmp_path))
+    assert mixed.columns == docs.columns and {(r["doc_id"], r["text"]) for r in mixed.where("text IS NULL OR text = ''").collect()} == {(None, None), (3, "")}
+    sizes = {r: len((r[1] or "").split()) for r in rows}
+    assert abs(sum(len((r["text"] or "").split()) for r in mixed.collect()) - 1.5 * sum(sizes[r] for r in rows)) <= 60
+    assert corpus_pipeline.place_in_shards(spark, docs, str(tmp_path)).count() == len(rows)
+    assert {r["text"] for r in corpus_pipeline.keep_languages(spark, docs, str(tmp_path)).collect()} == {r[1] for r in rows if r[1]}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+
+
+def test_queries_return_their_contract(spark):
+    """Columns that the thin queries add, on the smallest tables."""
+    from melisma.llm import registry
+
+    sf = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in docs}
+    got = {name: query(spark, sf).collect() for name, query in registry.QUERIES.items()}
+    for name in ("op2_token_counts", "op3_exact_dedup", "op4_mixing", "op5_sharding", "op7_language_id", "op8_suffix_dedup", "op9_toxicity", "op10_minhash"):
+        assert sorted(r["doc_id"] for r in got[name]) == sorted(docs), name
+    assert all(r["over_limit"] == (r["n_tokens"] > 1024) and r["n_bytes"] == len((docs[r["doc_id"]] or "").encode()) for r in got["op2_token_counts"])
+    assert all(r["held_out"] == held[r["doc_id"]] and 0 <= r["score"] <= 1 for name in ("op7_language_id", "op9_toxicity") for r in got[name])
+    assert all(r["predicted"] == int(r["score"] >= 0.3) for r in got["op9_toxicity"])
+    assert all(0 <= r["taken"] <= 2 * r["size"] for r in got["op4_mixing"])
+    assert {r["law"] for r in got["op5_sharding"]} == {"rows"} and {r["grown_shard"] for r in got["op5_sharding"]} == {None}
+    assert set(got["op1_decontaminate"][0].asDict()) >= {"doc_id", "item_id"}
+    own = next(r for r in got["op6_chat_format"] if r["conv_id"] == -7)
+    said = "\\### Assistant: </turn> ok"
+    assert (own["n_turns"], own["loss_chars"]) == (2, len(said))
+    assert own["turns_sha256"] == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
+    assert own["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+
+
+def test_cut_edges(spark):
+    """No group that fits a shard is cut; the measure counts pairs in two shards."""
+    texts = [f"copy {i // 5}" for i in range(2000)] + [f"single {i}" for i in range(500)]
+    placed = sharding.shard_rows(docs_of(spark, [(i, x, "en", "a") for i, x in enumerate(texts)]))
+    assert tuple(sharding.cut_edges(placed, ["text_crc32", "size"]).first()) == (4000.0, 0.0)
+    apart = spark.createDataFrame([(1, 0), (1, 0), (1, 3), (2, 4)], "g int, shard int")
+    assert tuple(sharding.cut_edges(apart, ["g"]).first()) == (3.0, 2.0)
