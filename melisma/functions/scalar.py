@@ -155,3 +155,30 @@ def is_pause(label: str | Column, pause: str = "<P>") -> Column:
 def name_part(name: str | Column, pattern: str, i: int) -> Column:
     """Part ``i`` (from 0) of a name split by a pattern; null beyond the last."""
     return F.get(F.split(col(name), pattern, -1), F.lit(i))
+
+
+def folder(path: str | Column) -> Column:
+    """What is before a path's last slash; empty without one."""
+    return F.regexp_extract(col(path), r"^(.*)/[^/]*$", 1)
+
+
+def extension(path: str | Column) -> Column:
+    """What follows the last dot of a file's name; empty without one."""
+    return F.regexp_extract(col(path), r"\.([^./]*)$", 1)
+
+
+def same_length(a: Column, b: Column) -> tuple[Column, Column]:
+    """Two arrays, each cut to the length of the shorter."""
+    n = F.least(F.size(a), F.size(b))
+    return F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n)
+
+
+def places(n: str | Column, step: int = 1) -> Column:
+    """0, 1, ... below ``n``; empty for 0."""
+    return F.when(col(n) > 0, F.sequence(F.lit(0).cast("bigint"), col(n).cast("bigint") - 1, F.lit(step).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+
+
+def is_reference(column: str) -> bool:
+    """Whether a column's name says that it tells where a row is from: file, channel,
+    segment, tier, time or group."""
+    return column in ("fi", "ci", "si", "gi", "stm", "tier", "t_on", "t_off") or column.startswith("grp_")

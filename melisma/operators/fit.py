@@ -114,7 +114,11 @@ def boundary_measures(t: str, y: str, side: str, shared: Column | None = None) -
 
 def gestalt(df: DataFrame, by: list[str], order: str, local: str, parent: str) -> DataFrame:
     """Local against parent line on the same samples: RMS, mean, slope and edge differences."""
+    return df.groupBy(*by).agg(*gestalt_measures(order, local, parent))
+
+
+def gestalt_measures(order: str, local: str, parent: str, prefix: str = "") -> list[Column]:
     d = F.col(local) - F.col(parent)
-    n = F.count(F.lit(1))
     first, last = F.min_by(d, F.col(order)), F.max_by(d, F.col(order))
-    return df.groupBy(*by).agg(F.sqrt(F.avg(d * d)).alias("rms"), F.avg(d).alias("d"), ((last - first) / n).alias("sd"), first.alias("d_init"), last.alias("d_fin"))
+    values = {"rms": F.sqrt(F.avg(d * d)), "d": F.avg(d), "sd": (last - first) / F.count(F.lit(1)), "d_init": first, "d_fin": last}
+    return [v.alias(f"{prefix}{n}") for n, v in values.items()]

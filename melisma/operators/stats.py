@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalar import entropy_terms, iqr, safe_div
+from ..functions.scalar import entropy_terms, iqr, polynomial, safe_div
 
 
 def std_feat(y: str, i: str, rate: float) -> list[Column]:
@@ -46,14 +48,20 @@ def quotients(df: DataFrame, by: list[str], i: str, y: str, head: int) -> DataFr
     return out.withColumn("qm", F.greatest("qi", "qf"))
 
 
-def jitter(df: DataFrame, by: list[str], t: str, t_min: float, t_max: float, fac_max: float) -> DataFrame:
-    """Mean absolute difference of adjacent periods, absolute and relative, with the
-    mean and deviation of the periods used: both in range, neither much the longer."""
+def periods(df: DataFrame, by: list[str], t: str, t_min: float, t_max: float, fac_max: float) -> DataFrame:
+    """Each period ``__d`` that counts, its successor ``__e`` and the time ``__t1`` between
+    them: both in range, neither much the longer."""
     w = Window.partitionBy(*by).orderBy(t)
-    rows = df.withColumn("__d", F.lead(t).over(w) - F.col(t))
+    rows = df.withColumn("__t1", F.lead(t).over(w)).withColumn("__d", F.col("__t1") - F.col(t))
     rows = rows.withColumn("__e", F.lead("__d").over(w))
-    ok = F.col("__d").between(t_min, t_max) & F.col("__e").between(t_min, t_max) & (F.greatest("__d", "__e") <= fac_max * F.least("__d", "__e"))
-    use = rows.where(ok).groupBy(*by).agg(F.avg(F.abs(F.col("__d") - F.col("__e"))).alias("jit_abs"), F.avg("__d").alias("jit_m"), F.stddev_pop("__d").alias("jit_sd"), F.count(F.lit(1)).alias("n"))
+    return rows.where(F.col("__d").between(t_min, t_max) & F.col("__e").between(t_min, t_max) & (F.greatest("__d", "__e") <= fac_max * F.least("__d", "__e")))
+
+
+def jitter(df: DataFrame, by: list[str], t: str, t_min: float, t_max: float, fac_max: float) -> DataFrame:
+    """Mean absolute difference of adjacent periods, absolute and relative, with the
+    mean and deviation of the periods used."""
+    use = periods(df, by, t, t_min, t_max, fac_max)
+    use = use.groupBy(*by).agg(F.avg(F.abs(F.col("__d") - F.col("__e"))).alias("jit_abs"), F.avg("__d").alias("jit_m"), F.stddev_pop("__d").alias("jit_sd"), F.count(F.lit(1)).alias("n"))
     return use.withColumn("jit", safe_div(F.col("jit_abs"), F.col("jit_m")))
 
 
@@ -106,3 +114,52 @@ def normalize(df: DataFrame, by: list[str], x: str, how: str, out: str) -> DataF
     v, lo, hi, m, sd = F.col(x), F.min(x).over(w), F.max(x).over(w), F.avg(x).over(w), F.stddev_pop(x).over(w)
     value = {"minmax": F.when(hi > lo, (v - lo) / (hi - lo)).otherwise(v), "zscore": safe_div(v - m, sd), "std": safe_div(v, sd)}[how]
     return df.withColumn(out, value)
+
+
+def imputed(df: DataFrame, by: list[str], columns: list[str], how: str | float = "mean") -> DataFrame:
+    """Null, NaN and infinite values replaced by the group's ``mean`` or ``median`` of the
+    others, or by a number; a group without others keeps nulls."""
+    w = Window.partitionBy(*by)
+    for c in columns:
+        v = F.col(c).cast("double")
+        fine = F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+        other = F.lit(float(how)) if not isinstance(how, str) else (F.avg(fine) if how == "mean" else F.percentile(fine, F.lit(0.5))).over(w)
+        df = df.withColumn(c, F.coalesce(fine, other))
+    return df
+
+
+def mean_curves(df: DataFrame, by: list[str], coefficients: list[str], points: int = 100, low: float = -1.0, high: float = 1.0) -> DataFrame:
+    """``by, n, x, y``: the mean polynomial of each group (coefficients in rising order)
+    at evenly spaced places."""
+    mean = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(c) for c in coefficients))
+    at = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("__k")
+    x = low + F.col("__k") * ((high - low) / (points - 1))
+    rows = mean.select("*", at).withColumn("x", x)
+    return rows.select(*by, "n", "x", polynomial([F.col(c) for c in coefficients], F.col("x")).alias("y"))
+
+
+def group_key(df: DataFrame, parts: list[str], missing: str = "#", separator: str = "_") -> Column:
+    """One key of several columns; a column that is absent or null gives ``missing``."""
+    return F.concat_ws(separator, *(F.coalesce(F.col(p).cast("string"), F.lit(missing)) if p in df.columns else F.lit(missing) for p in parts))
+
+
+def one_of_redundant(df: DataFrame, pattern: str, name: str) -> DataFrame:
+    """Columns whose name has the pattern hold the same: the first value that one of
+    them has becomes ``name``, they go."""
+    same = sorted(c for c in df.columns if re.search(pattern, c))
+    if not same:
+        return df
+    return df.withColumn("__one", F.coalesce(*same)).drop(*same).withColumnRenamed("__one", name)
+
+
+def by_channel(df: DataFrame, channel: str = "ci") -> DataFrame:
+    """Columns ``<name>_<channel>_rate`` as one ``<name>_rate``: a row's value is that of
+    its own channel (columns count from 1)."""
+    found: dict[str, list[tuple[int, str]]] = {}
+    for c in df.columns:
+        if m := re.fullmatch(r"(.+)_(\d+)_rate", c):
+            found.setdefault(f"{m[1]}_rate", []).append((int(m[2]), c))
+    for name, columns in found.items():
+        value = F.coalesce(*(F.when(F.col(channel) == k - 1, F.col(c)) for k, c in columns))
+        df = df.withColumn(name, value).drop(*(c for _, c in columns))
+    return df

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -85,3 +87,33 @@ def frame_energy(samples: DataFrame, by: list[str], i: str, y: str, hop: int, wi
     frames = samples.withColumn("frame", F.explode(F.sequence(first, F.floor(F.col(i) / hop))))
     weight = 0.54 - 0.46 * F.cos(2 * 3.141592653589793 * (F.col(i) - F.col("frame") * hop) / width)
     return frames.groupBy(*by, "frame").agg(F.sqrt(F.avg(F.pow(F.col(y) * weight, 2))).alias("energy"))
+
+
+def side_windows(df: DataFrame, by: list[str], i: str, y: str, width: int, side: str, agg) -> DataFrame:
+    """Adds ``windowed``: ``agg`` over ``width`` samples that end (``left`` of the sample) or
+    begin (``right``) with it; fewer at an edge."""
+    w = Window.partitionBy(*by).orderBy(i)
+    frame = w.rowsBetween(-(width - 1), 0) if side == "left" else w.rowsBetween(0, width - 1)
+    return df.withColumn("windowed", agg(F.col(y)).over(frame))
+
+
+def smoothed(df: DataFrame, by: list[str], i: str, y: str, how: str, width: int, out: str = "smooth") -> DataFrame:
+    """Moving ``mean`` or ``median`` over ``width`` samples (an odd number) around each."""
+    half = width // 2
+    frame = Window.partitionBy(*by).orderBy(i).rowsBetween(-half, half)
+    return df.withColumn(out, F.avg(y).over(frame) if how == "mean" else F.percentile(F.col(y), F.lit(0.5)).over(frame))
+
+
+def window_weight(kind: str, k: Column, n: Column) -> Column:
+    """Weight of sample ``k`` of ``n`` in a periodic window: none, hamming, hann or triang."""
+    turn = 2 * math.pi * k / n
+    return {"none": F.lit(1.0), "hamming": 0.54 - 0.46 * F.cos(turn), "hann": 0.5 - 0.5 * F.cos(turn), "triang": 1 - F.abs((2 * k - n) / (n + F.when(n % 2 == 1, 1).otherwise(0)))}[kind]
+
+
+def level_db(rms: Column, reference: float) -> Column:
+    """A level in dB over a reference; null for silence."""
+    return F.when(rms > 0, 20 * F.log10(rms / reference))
+
+
+#: Fixed value: the reference pressure in air, in Pa.
+PRESSURE = 2e-5

@@ -12,12 +12,13 @@ from pyspark.sql.window import Window
 
 from ..functions import scalar as fn
 from ..operators import classify, fill, fit, interval, spectral, stats, windows
+from ..storage import saved
 
 RATE = 100.0
 KEY = ["fi", "ci"]
 
 
-def preprocess(f0: DataFrame, ends: DataFrame | None = None, factor: float = 3.0, percent: float = 5.0, groups: list[str] | None = None) -> DataFrame:
+def preprocess(f0: DataFrame, ends: DataFrame | None = None, factor: float = 3.0, percent: float = 5.0, groups: list[str] | None = None, method: str = "mean") -> DataFrame:
     """``fi, ci, i, t, y, base``: the contour without gaps, outliers and unvoiced
     parts, smoothed, in semitones over its base value.
 
@@ -33,11 +34,11 @@ def preprocess(f0: DataFrame, ends: DataFrame | None = None, factor: float = 3.0
         span = span.join(ends, "fi", "left").withColumn("__last", F.greatest("__last", F.ceil(F.round(F.col("end") * RATE, 6)).cast("int")))
     grid = span.select(*KEY, *(g for g in groups if g not in KEY), F.explode(F.sequence(F.lit(0), "__last")).alias("i"))
     rows = grid.join(rows.select(*KEY, "i", "y"), [*KEY, "i"], "left").withColumn("y", F.coalesce("y", F.lit(0.0)))
-    rows = fill.mark_outliers(rows, KEY, "y", "mean", factor).withColumn("y", F.when(F.col("is_outlier"), 0.0).otherwise(F.col("y")))
+    rows = fill.mark_outliers(rows, KEY, "y", method, factor).withColumn("y", F.when(F.col("is_outlier"), 0.0).otherwise(F.col("y")))
     rows = fill.linear_fill(rows, KEY, "i", "y", F.col("y") == 0)
     rows = windows.savgol7(rows, KEY, "i", "filled").withColumn("y", F.greatest(F.coalesce("smooth", F.lit(0.0)), F.lit(0.0)))
     base = fill.base_value(rows, groups, "y", percent, least=1.0)
-    rows = rows.join(F.broadcast(base), groups)
+    rows = rows.join(base, groups)
     return rows.select(*KEY, *(g for g in groups if g not in KEY), "i", (F.col("i") / RATE).alias("t"), fn.semitone("y", "base").alias("y"), "base")
 
 
@@ -153,6 +154,49 @@ def local_shapes(contour: DataFrame, segments: DataFrame, parents: DataFrame, or
     return out
 
 
+def _aligned(segments: DataFrame, parents: DataFrame) -> DataFrame:
+    """Segments cut to the samples that they share with their parent's time axis, and
+    ``shift``, the samples by which the parent's run ahead.  That axis adds up hundredths
+    of a second from its onset, so for some onsets a time falls short of a segment's
+    that it should equal, and the samples from the next on stand for the segment's."""
+    above = parents.select(*KEY, F.col("si").alias("gi"), F.col("on").alias("__p"), F.col("off").alias("__q"))
+    rows = segments.join(above, [*KEY, "gi"])
+    step = (F.col("__p") + 0.01) - F.col("__p")
+    axis = lambda k: F.col("__p") + k * step
+    low, high = (F.bround((F.col(c) - F.col("__p")) * RATE, 0).cast("int") for c in ("on", "off"))
+    first = F.greatest(F.lit(0), low + F.when(axis(low) < F.col("on"), 1).otherwise(0))
+    last = F.least(F.bround((F.col("__q") - F.col("__p")) * RATE, 0).cast("int"), high - F.when(axis(high) > F.col("off"), 1).otherwise(0))
+    own = fn.sec2idx("off", RATE) - fn.sec2idx("on", RATE) + 1
+    n = F.least(own, last - first + 1)
+    shift = fn.sec2idx("__p", RATE) + first - fn.sec2idx("on", RATE)
+    return rows.withColumn("shift", shift.cast("int")).withColumn("off", F.round(F.col("on") + (n - 1) / RATE, 2)).drop("__p", "__q")
+
+
+def local_extended(contour: DataFrame, segments: DataFrame, parents: DataFrame, order: int = 3, raw: tuple[str, str] = ("on", "off"), **line) -> DataFrame:
+    """Register lines of each local segment (``on, off, gi``), how they lie against its
+    parent's lines on the same samples (``<register>_rms, _d, _sd, _d_init, _d_fin``), and
+    ``res_<register>_c<k>``: coefficients of the contour less the parent's line, or for the
+    range its place between the parent's base and top line."""
+    by = [*KEY, "si"]
+    times = segments.select(*by, F.col(raw[0]).alias("__a"), F.col(raw[1]).alias("__b"))
+    segments = _aligned(segments.select(*by, "gi", "on", "off"), parents).join(times, by)
+    own = global_lines(contour, segments, raw=("__a", "__b"), **line).select(*by, *(f"{r}_{k}" for r in fn.REGISTERS for k in ("c0", "c1", "m", "rate")))
+    lines = lambda prefix: [c.alias(f"{prefix}{r}_{n}") for r in fn.REGISTERS for c, n in zip(fit.line_fit(r, "x"), ("slope", "icpt"), strict=True)]
+    at = lambda prefix, r, x: F.col(f"{prefix}{r}_slope") * F.col(x) + F.col(f"{prefix}{r}_icpt")
+    above = registers(contour, parents, **line)
+    above = above.join(above.groupBy(*by).agg(*lines("p_")), by).select(*KEY, F.col("si").alias("__gi"), F.col("i").alias("__at"), *(at("p_", r, "x").alias(f"p_{r}") for r in fn.REGISTERS))
+    rows = registers(contour, segments, **line)
+    rows = rows.join(rows.groupBy(*by).agg(*lines("l_")), by)
+    rows = rows.select(*by, "i", "y", F.col("gi").alias("__gi"), (F.col("i") + F.col("shift")).alias("__at"), *(at("l_", r, "x").alias(f"l_{r}") for r in fn.REGISTERS)).join(above, [*KEY, "__gi", "__at"])
+    rows = saved(rows.withColumn("x", fit.unit_time(by, "i", -1.0, 1.0)), "gestalt")
+    out = rows.groupBy(*by).agg(*(m for r in fn.REGISTERS for m in fit.gestalt_measures("i", f"l_{r}", f"p_{r}", f"{r}_")))
+    rest = {r: F.col("y") - F.col(f"p_{r}") for r in fn.REGISTERS} | {"rng": fit.range_residual(F.col("y"), F.col("p_bl"), F.col("p_tl"))}
+    long = rows.select(*by, "x", F.explode(F.array(*(F.struct(F.lit(r).alias("reg"), v.alias("rest")) for r, v in rest.items()))).alias("v")).select(*by, "x", "v.*")
+    cells = fit.polynomial_fit(long, [*by, "reg"], "x", "rest", order)
+    cells = cells.groupBy(*by).agg(*(F.max(F.when(F.col("reg") == r, F.col(f"c{k}"))).alias(f"res_{r}_c{k}") for r in fn.REGISTERS for k in range(order + 1)))
+    return saved(own, "local-lines").join(out, by, "left").join(cells, by, "left")
+
+
 #: Measures of a boundary, per window and register.
 BOUNDARY = ["p", "r", "d_o", "d_m", "sd_prepost", "sd_pre", "sd_post", *(f"{m}{k}" for m in ("rms", "corrD", "rmsR", "aicI") for k in ("", "_pre", "_post"))]
 WINDOWS = ["std", "win", "trend"]
@@ -287,12 +331,44 @@ def rhythm(contour: DataFrame, segments: DataFrame, upper: float = 10.0, drop_me
     return spectral.spectral_moments(spectral.band_dct(slices(contour, segments), by, "i", "y", RATE, upper, drop_mean=drop_mean, beta=beta), by)
 
 
-def voice(pulses: DataFrame, segments: DataFrame | None = None) -> DataFrame:
-    """Jitter per segment, or per recording without segments."""
+def _voice(pulses: DataFrame, by: list[str], amplitudes: bool, t_min: float, t_max: float, fac_max: float) -> DataFrame:
+    def shape(rows: DataFrame, t: str, change: str, name: str) -> DataFrame:
+        rows = rows.withColumn("__x", fit.unit_time(by, t, -1.0, 1.0))
+        return fit.polynomial_fit(rows, by, "__x", change, 3).select(*by, *(F.col(f"c{k}").alias(f"{name}_c{k}") for k in range(4)))
+
+    mean = F.avg("__d").over(Window.partitionBy(*by))
+    used = stats.periods(pulses, by, "t", t_min, t_max, fac_max).withColumn("__rel", F.abs(F.col("__d") - F.col("__e")) / mean)
+    out = stats.jitter(pulses, by, "t", t_min, t_max, fac_max).join(shape(used, "__t1", "__rel", "jit"), by, "left")
+    if amplitudes:
+        w = Window.partitionBy(*by)
+        heard = pulses.where("a IS NOT NULL")
+        steps = heard.withColumn("__rel", F.abs(F.abs("a") - F.abs(F.lag("a").over(w.orderBy("t")))) / F.avg(F.abs("a")).over(w)).where("__rel IS NOT NULL")
+        out = out.join(stats.shimmer(heard, by, "t", "a"), by, "full").join(shape(steps, "t", "__rel", "shim"), by, "left")
+    return out
+
+
+def voice(pulses: DataFrame, segments: DataFrame | None = None, t_min: float = 0.0001, t_max: float = 0.02, fac_max: float = 1.3) -> DataFrame:
+    """Jitter per segment, or per recording without segments, with the cubic of its
+    course; shimmer too where the pulses have amplitudes ``a`` (see :func:`pulse_levels`).
+    In segments ``_nrm`` is a value over the recording's."""
+    levels = "a" in pulses.columns
+    whole = _voice(pulses, KEY, levels, t_min, t_max, fac_max)
     if segments is None:
-        return stats.jitter(pulses, KEY, "t", 0.0001, 0.02, 1.3)
+        return whole
+    by = [*KEY, "si"]
     held = interval.range_join(pulses, segments, KEY, "t", "on", "off", 1.0, "inner")
-    return stats.jitter(held, [*KEY, "si"], "t", 0.0001, 0.02, 1.3)
+    out = _voice(held, by, levels, t_min, t_max, fac_max)
+    names = [c for c in ("jit", "jit_m", "jit_sd", "shim", "shim_m", "shim_sd") if c in out.columns]
+    out = out.join(whole.select(*KEY, *(F.col(c).alias(f"__{c}") for c in names)), KEY, "left")
+    for c in names:
+        out = out.withColumn(f"{c}_nrm", fn.safe_div(F.col(c), F.col(f"__{c}"))).drop(f"__{c}")
+    return out
+
+
+def pulse_levels(pulses: DataFrame, samples: DataFrame, rate: int) -> DataFrame:
+    """Adds ``a``, the sample (``fi, ci, i, x``) at each pulse; null beyond the last."""
+    rows = pulses.withColumn("i", fn.sec2idx("t", float(rate)))
+    return rows.join(samples.select(*KEY, "i", F.col("x").alias("a")), [*KEY, "i"], "left").drop("i")
 
 
 def resynthesize(contour: DataFrame, local: DataFrame, level: Column, base: Column) -> DataFrame:
@@ -301,8 +377,12 @@ def resynthesize(contour: DataFrame, local: DataFrame, level: Column, base: Colu
     return rows.withColumn("y_hz", F.coalesce(fn.hertz(F.col("fit") + level, base), F.lit(0.0)))
 
 
-def contour_classes(shapes: DataFrame, key: str, coefficients: list[str], bandwidth: float | None = None) -> DataFrame:
-    """Classes of contour shapes by mean shift over robust-scaled coefficients."""
+def contour_classes(shapes: DataFrame, key: str, coefficients: list[str], bandwidth: float | None = None, clusters: int | None = None) -> DataFrame:
+    """Classes of contour shapes over robust-scaled coefficients by mean shift, or by
+    k-means into so many ``clusters``, from the shapes of least key hashes."""
     vectors = shapes.select(key, F.array(*coefficients).alias("v"))
-    scaled = classify.robust_scale(classify.long_vectors(vectors, key, "v"))
-    return classify.mean_shift(classify.as_vectors(scaled, key, "z", "v"), key, "v", bandwidth)
+    scaled = classify.as_vectors(classify.robust_scale(classify.long_vectors(vectors, key, "v")), key, "z", "v")
+    if clusters is None:
+        return classify.mean_shift(scaled, key, "v", bandwidth)
+    start = [r["v"] for r in scaled.groupBy("v").agg(F.min(F.xxhash64(key)).alias("h")).orderBy("h", "v").limit(clusters).collect()]
+    return classify.kmeans(scaled, key, "v", start) if start else scaled.select(key, F.lit(0).alias("class"), F.lit(0.0).alias("dist"))
