@@ -178,6 +178,7 @@ def _augmented(corpus: Corpus, on: dict) -> None:
     line = _lines(corpus.conf["styl"]["glob"])
 
     def keep(rows: DataFrame, name: str, label: str) -> None:
+        rows = saved(rows, name)
         for ci in sorted(r["ci"] for r in rows.select("ci").distinct().collect()):
             tier = f"{name}_{ci + 1}"
             own = rows.where(F.col("ci") == ci)
@@ -210,15 +211,16 @@ def _augmented(corpus: Corpus, on: dict) -> None:
     phones = _union(corpus.tier(n).select(*KEY, "on", "off", "label") for n in fs["pho"]["tier"]) if fs["pho"]["tier"] else None
     if on["do_augment_glob"]:
         part = out["glob"]
-        segments, above = corpus.segments(part["tier"]), corpus.segments(parents(part))
+        segments, above = saved(corpus.segments(part["tier"]), "segments"), saved(corpus.segments(parents(part)), "parents")
         found = augmentation.global_segments(corpus.contour, segments, above, conf["glob"], line, corpus.conf["styl"]["bnd"]["win"], phones, fs["pho"]["vow"])
         keep(found, part["tier_out_stm"], "x")
     if on["do_augment_loc"]:
         part, pre = out["loc"], corpus.conf["preproc"]
         names = part["tier_acc"] or tiers(out["syl"]["tier_out_stm"])
         points = _renumbered(_union(corpus.tier(n).select(*KEY, "si", F.round((F.col("xmin") + F.col("xmax")) / 2, 2).alias("t")) for n in names), "t")
-        groups = corpus.segments(part["tier_ag"]) if part["tier_ag"] else None
-        above = corpus.segments(part["tier_parent"] or tiers(out["glob"]["tier_out_stm"]))
+        points = saved(points, "points")
+        groups = saved(corpus.segments(part["tier_ag"]), "accent-groups") if part["tier_ag"] else None
+        above = saved(corpus.segments(part["tier_parent"] or tiers(out["glob"]["tier_out_stm"])), "phrases")
         loud = _union(prosody.energy_contour(x, r) for x, r in corpus.samples()) if conf["loc"]["force"] else None
         found = augmentation.accents(corpus.contour, points, groups, above, conf["loc"], line, loud, order=corpus.conf["styl"]["loc"]["ord"], register=corpus.conf["styl"]["register"], width=pre["point_win"], norm=pre["nrm_win"], phones=phones, vowels=fs["pho"]["vow"])
         keep(found, part["tier_out_stm"], "x")
@@ -236,7 +238,7 @@ def diagnosis(corpus: Corpus, kinds: tuple[str, ...] = ("glob", "bnd", "gnl_f0",
             short = (F.col("class") != "TextTier") & (length < 3 / prosody.RATE - 1e-9)
             stats = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.sum(short.cast("int")).alias("n_short"), F.min(length).alias("shortest"))
             if augmentation.missing_tiers(corpus.items, [name]):
-                stats = corpus.spark.createDataFrame([(None, None, 0, 0, None)], stats.schema)
+                stats = corpus.spark.createDataFrame([(None, None, 0, 0, None)], "fi int, ci int, n bigint, n_short bigint, shortest double")
             parts.append(stats.withColumn("kind", F.lit(kind)).withColumn("tier", F.lit(name)))
     if not parts:
         return corpus.spark.createDataFrame([], "fi int, ci int, kind string, tier string, n bigint, n_short bigint, shortest double")

@@ -136,7 +136,8 @@ def by_column(df: DataFrame, key: list[str], v: str = "v", keep: tuple[str, ...]
     long = df.select(*key, *keep, F.posexplode(v).alias("j", "x"))
     cells = long.groupBy(*key, "j").agg(*(c.alias(n) for n, c in aggregates.items()))
     row = F.array_sort(F.collect_list(F.struct("j", *aggregates)))
-    return cells.groupBy(*key).agg(row.alias("__r")).select(*key, *(F.transform("__r", lambda c, n=n: c[n]).alias(n) for n in aggregates))
+    field = lambda n: F.transform("__r", lambda c: c[n]).alias(n)
+    return cells.groupBy(*key).agg(row.alias("__r")).select(*key, *map(field, aggregates))
 
 
 def scaled(df: DataFrame, unit: list[str], v: str = "v", few: int = SPARSE) -> DataFrame:
@@ -230,7 +231,7 @@ def centroids(df: DataFrame, unit: list[str], method: str, percent: float, weigh
         w = silhouette_weights(near, key)
     else:
         w = first.select(*key, given.alias("w"))
-    first = first.join(w, key, "left").withColumn("w", F.when(F.col("few") | F.col("w").isNull(), given).otherwise(F.col("w"))).drop("few")
+    first = saved(first.join(w, key, "left"), "first-centres").withColumn("w", F.when(F.col("few") | F.col("w").isNull(), given).otherwise(F.col("w"))).drop("few")
     if method == "split":
         return first.select(*unit, "c0", "c1", "w")
     both = F.col("seeded") & F.col("has0")
@@ -314,7 +315,8 @@ def classified(df: DataFrame, by: list[str], unit: list[str], weights: list[floa
     """Candidates (``t, v, bad, seed``) with their ``class``, by the settings of one kind:
     ``measure, cntr_mtd, prct, wgt_mtd, min_l``."""
     rows, weights = with_delta(df, by, conf["measure"], weights)
-    rows = scaled(drop_bad_seeds(rows, by, conf["measure"]), unit)
+    # Written, for its plan would come again in each of the aggregates over it.
+    rows = saved(scaled(drop_bad_seeds(rows, by, conf["measure"]), unit), "scaled")
     centers = centroids(rows, unit, conf["cntr_mtd"], conf["prct"], conf["wgt_mtd"], weights)
     attract = (conf["prct"], 100 - conf["prct"]) if conf["cntr_mtd"] == "seed_wgt" else None
     return keep_apart(classify(rows, unit, centers, attract), by, conf["min_l"])

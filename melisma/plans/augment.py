@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import augment, detect, interval
+from ..storage import saved
 from . import prosody
 
 KEY = ["fi", "ci"]
@@ -47,7 +48,7 @@ def boundary_candidates(contour: DataFrame, segments: DataFrame, chunks: DataFra
     rows = augment.gap_seeds(segments, KEY, short)
     if not conf.get("use_gaps", True):
         rows = rows.withColumn("seed", F.when(F.col("seed") == 0, 0))
-    feats = prosody.boundaries(contour, segments, chunks, **line, norm=norm)
+    feats = saved(prosody.boundaries(contour, segments, chunks, **line, norm=norm), "boundary-features")
     rows = rows.join(feats.select(*KEY, "si", *sorted(n for n, w in weights.items() if w > 0)), [*KEY, "si"], "left")
     if pho and phones is not None:
         rows = augment.vowel_scaled(augment.previous_vowel(rows, phones, KEY, vowels), _unit(conf))
@@ -64,7 +65,8 @@ def global_segments(contour: DataFrame, segments: DataFrame, parents: DataFrame,
     """``fi, ci, on, off``: segments joined between the boundaries that are found."""
     chunks = parents.select(*KEY, F.col("on").alias("c_on"), F.col("off").alias("c_off"))
     rows, weights = boundary_candidates(contour, segments, chunks, conf, line, norm, phones, vowels)
-    marked = augment.classified(rows.select(*KEY, "t", "v", "bad", "seed"), KEY, _unit(conf), weights, conf)
+    rows = saved(rows.select(*KEY, "t", "v", "bad", "seed"), "boundary-candidates")
+    marked = saved(augment.classified(rows, KEY, _unit(conf), weights, conf), "boundaries")
     return augment.cut_segments(segments, marked, parents, KEY, conf["min_l"])
 
 
@@ -77,11 +79,11 @@ def accent_candidates(contour: DataFrame, points: DataFrame, parents: DataFrame,
     windows = prosody.point_segments(points, parents.select(*KEY, c_on, c_off), width, norm)
     inside = interval.range_join(windows, parents.select(*KEY, F.col("si").alias("gi"), F.col("on").alias("p_on"), F.col("off").alias("p_off")), KEY, "center", "p_on", "p_off", 60.0, "inner")
     by = [*KEY, "si"]
-    inside = inside.groupBy(*by, "on", "off", "center", "nrm_on", "nrm_off").agg(F.min("gi").alias("gi"))
+    inside = saved(inside.groupBy(*by, "on", "off", "center", "nrm_on", "nrm_off").agg(F.min("gi").alias("gi")), "accent-windows")
     rows = inside.select(*by).join(points.select(*by, "t"), by)
     weights: dict[str, float] = {}
     if "acc" in tree:
-        shapes = prosody.local_shapes(contour, inside, parents, order, register, **line)
+        shapes = saved(prosody.local_shapes(contour, inside, parents, order, register, **line), "accent-shapes")
         names = {f"c{k}": w for k, w in enumerate(tree["acc"].get("c", []))} | {k: w for k, w in tree["acc"].items() if k != "c"}
         weights |= {f"acc_{k}": w for k, w in names.items()}
         rows = rows.join(shapes.select(*by, *(F.col(k).alias(f"acc_{k}") for k in names)), by, "left")
@@ -94,7 +96,7 @@ def accent_candidates(contour: DataFrame, points: DataFrame, parents: DataFrame,
     if "gnl_f0" in tree:
         names = flat_weights(tree["gnl_f0"])
         weights |= {f"gnl_{k}": w for k, w in names.items()}
-        rows = rows.join(prosody.general(contour, inside).select(*by, *(F.col(k).alias(f"gnl_{k}") for k in names)), by, "left")
+        rows = rows.join(saved(prosody.general(contour, inside), "accent-general").select(*by, *(F.col(k).alias(f"gnl_{k}") for k in names)), by, "left")
     if tree.get("pho") and phones is not None:
         rows = augment.vowel_scaled(augment.previous_vowel(rows, phones, KEY, vowels), _unit(conf))
         weights["vowel_dur"] = float(tree["pho"])
@@ -115,12 +117,12 @@ def accents(contour: DataFrame, points: DataFrame, groups: DataFrame | None, par
     if before and conf["ag_select"] == "all":
         return chosen.select(*KEY, "t")
     rows, weights = accent_candidates(contour, chosen, parents, conf, line, **more)
-    rows = rows.select(*KEY, "t", "v", "bad").withColumn("seed", F.lit(None).cast("int"))
+    rows = saved(rows.select(*KEY, "t", "v", "bad").withColumn("seed", F.lit(None).cast("int")), "accent-candidates")
     if conf["cntr_mtd"] == "seed_minmax":
         rows = augment.minmax_seeds(rows, _unit(conf), *conf.get("minmax_prct", (10, 90)))
     elif conf["cntr_mtd"].startswith("seed") and groups is not None and conf.get("heuristics") == "ORT":
         rows = augment.word_seeds(rows, groups, KEY, weights, conf["max_l_na"], conf["min_l_a"])
-    found = augment.classified(rows, KEY, _unit(conf), weights, conf).where("class = 1")
+    found = saved(augment.classified(rows, KEY, _unit(conf), weights, conf).where("class = 1"), "accents")
     if groups is not None and not before:
         found = augment.postselect(found, groups, KEY)
     return augment.forced(found, energy, KEY) if conf.get("force") and energy is not None else found.select(*KEY, "t")

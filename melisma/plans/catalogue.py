@@ -608,3 +608,5 @@ def enforce_distance(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"kmeans": kmeans, "mean_shift": mean_shift, "enforce_distance": enforce_distance}
+
+from . import catalogue_more as _more  # noqa: E402, F401

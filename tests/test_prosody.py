@@ -20,6 +20,14 @@ SHAPES = {
     0: {"c0": 0.5464442459, "c1": 1.3403022661, "c2": -1.707026741, "c3": 0.2634552787, "rms_c0": 1.0751767449, "rms_c1": 0.5593299356, "rms_c2": 0.1448358397, "rms_c3": 0.1383390483, "rmsd": 1.0777792635},
     1: {"c0": 0.4843351318, "c1": -3.454666750, "c2": 1.0271108457, "c3": 1.0333713095, "rms_c0": 1.8046819127, "rmsd": 1.9264964352},
 }
+EXTENDED = {
+    0: {"bl_c0": 1.9190734071904765, "bl_rate": 11.084046974970045, "bl_sd": 0.1178137080770454, "ml_c0": 2.8720574207857146, "ml_rate": 8.718496452635328, "ml_sd": 0.09478187950003603, "tl_c0": 3.7452055708095235, "tl_rate": 6.103286130613511, "tl_sd": 0.0698331971617682, "rng_c0": 1.8261321636190473, "rng_rate": -4.980760844356536, "rng_sd": -0.04798051091527722, "res_bl_c0": 1.2489619696262078, "res_bl_c3": -0.16984845393163417, "res_ml_c2": -1.4541220429531143, "res_tl_c1": 1.7556303473862367, "res_rng_c0": 0.708283887855724, "res_rng_c3": -0.10075093046229452},
+    1: {"bl_c1": -4.942156288550503, "bl_d_fin": -1.2010918825253616, "ml_sd": -0.123993006662245, "tl_rms": 1.8609312767960011, "rng_m": 1.5810610728409096, "res_bl_c0": 1.5540744682689753, "res_ml_c3": 1.640936928639058, "res_rng_c2": 0.5338065660584534},
+    5: {"bl_m": 0.3531755246226413, "ml_m": 0.5914768166037736, "tl_m": 0.8361030913207542, "rng_m": 0.4829275666981132, "res_bl_c2": 0.5136940181010557, "res_tl_c3": 0.8273532617153844},
+}
+#: Published, of the first phrase's spectrum and of the recording's periods.
+PEAKS = {"n_peak": 3, "ACC_dlm": 0.25025767882910754, "ACC_mae": 24.514758200106723}
+COURSE = {"jit_c0": 0.03633476748155492, "jit_c1": 0.015359472650420957, "jit_c2": -0.00971392555942283, "jit_c3": -0.023499233181828134}
 RHYTHM = {"sm1": 3.75250809446341, "sm2": 6.242448116608967, "sm3": -55.236690633641736, "f_max": 1.1133786848072562}
 JITTER = {"jit": 0.03326791526224681, "jit_m": 0.010702931559633025, "jit_sd": 0.0012158815187002514}
 
