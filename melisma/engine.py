@@ -198,13 +198,13 @@ def _augmented(corpus: Corpus, on: dict) -> None:
     if on["do_augment_chunk"]:
         keep(corpus._numbered(augmentation.chunk_tier(corpus.blocks(), conf["chunk"])), out["chunk"]["tier_out_stm"], labels["chunk"])
     if on["do_augment_syl"]:
-        above = corpus.segments(parents(out["syl"])).join(corpus.recordings.select("fi", "path"), "fi") if parents(out["syl"]) else None
-        blocks = corpus.blocks()
-        if above is None:
-            above = detect.loud_rms(blocks).select("path", "ci", F.lit(0.0).alias("on"), F.col("end").alias("off"))
+        names, blocks = parents(out["syl"]), corpus.blocks()
+        if names:
+            # Audio goes by its own paths.
+            paths = blocks.select("path").distinct().withColumn("stem", fn.stem("path")).join(corpus.recordings.select("stem", "fi"), "stem").select("fi", "path")
+            above = saved(corpus.segments(names).join(paths, "fi").select("path", "ci", "on", "off"), "syllable-parents")
         else:
-            names = blocks.select("path").distinct().withColumn("stem", fn.stem("path")).join(corpus.recordings.select("stem", "fi"), "stem").select("fi", "path")
-            above = above.drop("path").join(names, "fi").select("path", "ci", "on", "off")
+            above = saved(detect.loud_rms(blocks).select("path", "ci", F.lit(0.0).alias("on"), F.col("end").alias("off")), "syllable-parents")
         nuclei, bounds = augmentation.syllable_tiers(blocks, above, conf["syl"])
         keep(corpus._numbered(nuclei.select("path", "ci", "t")), out["syl"]["tier_out_stm"], labels["syl"])
         keep(corpus._numbered(bounds.select("path", "ci", "t")), f"{out['syl']['tier_out_stm']}_bnd", labels["syl"])

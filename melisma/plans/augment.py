@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import augment, detect, interval
 from ..storage import saved
@@ -139,11 +140,13 @@ def syllable_tiers(blocks: DataFrame, parents: DataFrame, conf: dict) -> tuple[D
     (``path, ci, on, off``); with ``force`` a parent without a nucleus gets one in its
     middle."""
     low, high = map(float, conf["flt"]["f"])
+    order = Window.partitionBy("path", "ci").orderBy("on")
+    parents = parents.select("path", "ci", "on", "off").withColumn("chunk", F.row_number().over(order) - 1)
     nuclei, bounds = detect.nuclei(blocks, parents, conf["e_rel"], conf["e_val"], conf["e_min"], conf["l"], conf["l_ref"], conf["d_min"], low, high, conf["flt"]["ord"])
     if conf.get("force"):
-        none = interval.range_join(nuclei.select("path", "ci", "t"), parents, ["path", "ci"], "t", "on", "off", 1.0, "inner").select("path", "ci", "on").distinct()
-        middle = parents.join(none, ["path", "ci", "on"], "left_anti").select("path", "ci", F.lit(-1).cast(nuclei.schema["chunk"].dataType).alias("chunk"), ((F.col("on") + F.col("off")) / 2).alias("t"), F.lit(None).cast("double").alias("ratio"))
-        nuclei = nuclei.unionByName(middle.select(*nuclei.columns), allowMissingColumns=True)
+        none = parents.join(nuclei.select("path", "ci", "chunk").distinct(), ["path", "ci", "chunk"], "left_anti")
+        middle = none.select("path", "ci", "chunk", ((F.col("on") + F.col("off")) / 2).alias("t"), F.lit(None).cast("double").alias("ratio"))
+        nuclei = nuclei.unionByName(middle)
     return nuclei, bounds
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import name_part, stem
+from .sinks import is_factor
 
 
 def _lines(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
@@ -59,3 +60,10 @@ def read_lines(spark: SparkSession, path: str, separator: str | None = None, glo
     """``path, item``: trimmed lines, or with a separator (a pattern) their parts as an array."""
     rows = _lines(spark, path, glob)
     return rows.select("path", (F.col("line") if separator is None else F.split("line", separator)).alias("item"))
+
+
+def read_export(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
+    """A table written by ``sinks.write_table``: ``NA`` is null, factors are text, other
+    columns numbers."""
+    raw = spark.read.option("header", True).option("sep", separator).option("nullValue", "NA").csv(path)
+    return raw.select(*(F.col(f"`{c}`") if is_factor(c) else F.col(f"`{c}`").try_cast("double").alias(c) for c in raw.columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def saved(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
@@ -27,3 +27,13 @@ def saved(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     path = f"{folder.rstrip('/')}/{name}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def save_tables(tables: dict[str, DataFrame], folder: str) -> None:
+    """Tables by name, each as Parquet beside the others, to go on from another day."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
+def load_tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet") for name in names}

@@ -111,12 +111,12 @@ def test_augmentation(spark, tmp_path):
 
 
 def test_augmentation_from_audio(spark, tmp_path):
-    """Two bursts of noise: two chunks, a syllable in each."""
+    """Two stretches of noise that swells three times: two chunks of three syllables."""
     rate, rng = 8000, np.random.default_rng(1)
     x = np.zeros(int(4.6 * rate))
     for on in (0.5, 3.0):
-        a, n = int(on * rate), int(0.6 * rate)
-        x[a : a + n] = rng.normal(0, 0.2, n) * np.hanning(n)
+        a, n = int(on * rate), int(0.75 * rate)
+        x[a : a + n] = rng.normal(0, 0.2, n) * np.sin(np.pi * 4 * np.arange(n) / rate) ** 2
     with wave.open(str(tmp_path / "dialogId_turnId_spkId.wav"), "wb") as w:
         w.setnchannels(1), w.setsampwidth(2), w.setframerate(rate)
         w.writeframes((x.clip(-1, 1) * 32767).astype("<i2").tobytes())
@@ -125,7 +125,8 @@ def test_augmentation_from_audio(spark, tmp_path):
     chunks = sorted((r["xmin"], r["xmax"]) for r in items if r["tier"] == "CHUNK_1")
     nuclei = sorted(r["xmin"] for r in items if r["tier"] == "SYL_1")
     assert len(chunks) == 2 and chunks[0][0] < 0.8 < chunks[0][1] < 3.3 < chunks[1][1]
-    assert nuclei and all(0.5 < t < 1.1 or 3.0 < t < 3.6 for t in nuclei)
+    swells = [on + 0.125 + 0.25 * k for on in (0.5, 3.0) for k in range(3)]
+    assert nuclei and all(min(abs(t - s) for s in swells) < 0.08 for t in nuclei)
 
 
 def test_energy_stage(spark, tmp_path):

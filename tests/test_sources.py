@@ -71,3 +71,15 @@ def test_write_table(items, tmp_path, spark):
     assert "tier='factor'" in script and "xmin='numeric'" in script
     contour = spark.createDataFrame([(0, 0, 0.01, 1.0), (0, 1, 0.01, 2.5)], "fi int, ci int, t double, y double")
     assert sinks.contour_lines(contour, 2).first()["line"] == "0.01 1.00 2.50"
+
+
+def test_export_and_saved_tables_come_back(spark, tmp_path):
+    from melisma import storage
+    from melisma.sources import sinks, tables
+
+    df = spark.createDataFrame([("a", 0, 1.5, None), ("b", 1, -2.0, 3.0)], "stm string, fi int, x double, y double")
+    sinks.write_table(df, str(tmp_path / "t.csv"))
+    got = sorted(tuple(r) for r in tables.read_export(spark, str(tmp_path / "t.csv")).select("stm", "fi", "x", "y").collect())
+    assert got == [("a", "0", 1.5, None), ("b", "1", -2.0, 3.0)]
+    storage.save_tables({"one": df}, str(tmp_path / "state"))
+    assert storage.load_tables(spark, str(tmp_path / "state"), ["one"])["one"].count() == 2
