@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, table, work_dir, written
+from .common import bound_batches, give_back, table, work_dir, written
 from .textvec import Words, text_slices, words_of
 
 #: Words of half a passage; a benchmark text is cut into pieces of as many words
@@ -124,6 +124,7 @@ def document_frequencies(docs: DataFrame, vocab: np.ndarray) -> tuple[np.ndarray
                 of = np.searchsorted(w.first, at, "right") - 1
                 seen = np.unique(of * np.int64(len(vocab)) + place) % max(1, len(vocab))
                 total += np.bincount(seen, minlength=len(vocab))
+        give_back()
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], n))], names=["w", "n"])
 
@@ -281,6 +282,7 @@ def _search(blocks: list[_Block], names: list[str]):
                     [*(batch.column(i + 1).take(rows) for i in range(len(names))), pa.array([k for _, k in keys], pa.int64()), *(pa.array([found[k][i] for k in keys], pa.float64()) for i in range(3))],
                     names=[*names, "item_id", "lcs_share", "answer_share", "cosine"],
                 )
+            give_back()
 
     return run
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import beside_text, bound_batches, table, train_row, training_sample
+from .common import beside_text, bound_batches, give_back, table, train_row, training_sample
 from .textvec import raw_bytes, text_slices
 
 WINDOW, HIDDEN = 64, 8
@@ -225,6 +225,7 @@ def identify(df: DataFrame, model: Model | None, text: str = "text") -> DataFram
                 names += [model.langs[i] if k else "und" for i, k in zip(best, known, strict=True)]
                 scores += [min(1.0, float(p[i, j])) if k else 0.0 for j, (i, k) in enumerate(zip(best, known, strict=True))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+            give_back()
 
     return rows.mapInArrow(run, schema)
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, drop_path, small_enough, table, work_dir, written
+from .common import bound_batches, drop_path, give_back, small_enough, table, work_dir, written
 from .graph import connected_components
 from .textvec import mix64, raw_bytes, shingles, text_slices, words_of
 
@@ -158,6 +158,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [*(batch.column(i).slice(a, b - a) for i in others), pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), pa.array(np.diff(offsets), pa.int64()), bands],
                 names=[*(batch.schema.names[i] for i in others), "k1", "k2", "n_bytes", "bands"],
             )
+        give_back()
 
 
 def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
@@ -225,12 +226,18 @@ def _verify(frame: pd.DataFrame) -> pd.DataFrame:
 def _star(frame: pd.DataFrame) -> pd.DataFrame:
     """Edges from the texts of a task to their lead, where they are similar."""
     frame = frame.sort_values("node", kind="stable")
-    elements, weights, bound = weighted_sets(*shingles(words_of(pa.array(frame["text"].fillna("").tolist(), pa.large_string())), SHINGLE))
-    nodes, lead = frame["node"].to_numpy(), int(frame["lead"].iloc[0])
+    nodes, lead, texts = frame["node"].to_numpy(), int(frame["lead"].iloc[0]), frame["text"].fillna("").tolist()
     at = int(np.flatnonzero(nodes == lead)[0])
-    own = slice(bound[at], bound[at + 1])
-    near = [i != at and similarity(elements[own], weights[own], elements[bound[i] : bound[i + 1]], weights[bound[i] : bound[i + 1]]) >= SIMILARITY for i in range(len(nodes))]
-    return pd.DataFrame({"a": nodes[near], "b": np.full(sum(near), lead)})
+    sets = lambda part: weighted_sets(*shingles(words_of(pa.array(part, pa.large_string())), SHINGLE))
+    own, heavy, _ = sets([texts[at]])
+    near = np.zeros(len(nodes), bool)
+    for first in range(0, len(texts), 128):
+        elements, weights, bound = sets(texts[first : first + 128])
+        for i in range(len(bound) - 1):
+            mine = slice(bound[i], bound[i + 1])
+            near[first + i] = first + i != at and similarity(own, heavy, elements[mine], weights[mine]) >= SIMILARITY
+    give_back()
+    return pd.DataFrame({"a": nodes[near], "b": np.full(int(near.sum()), lead)})
 
 
 def _star_edges(placed: DataFrame) -> DataFrame:

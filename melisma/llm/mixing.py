@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import numbered_repeats, shuffle_partitions, table, work_dir, written
+from .common import give_back, numbered_repeats, shuffle_partitions, table, work_dir, written
 
 WORDS = r"[^\x20\x09-\x0D]+"
 _EPS = 1e-9
@@ -184,6 +184,8 @@ def _flight(names: list[str], seed: int, last: bool):
         close()
         if out:
             yield pd.DataFrame(out, columns=names)
+        out.clear()
+        give_back()
 
     return run
 
