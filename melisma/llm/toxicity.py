@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import beside_text, bound_batches, table, train_row, training_sample
+from .common import beside_text, bound_batches, give_back, table, train_row, training_sample
 from .textvec import Words, mix64, shingles, text_slices, words_of
 
 #: The bound of the training sample: documents of each label, characters of each.
@@ -130,23 +130,32 @@ def _grid(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return np.where(np.arange(SEQUENCE)[:, None] < size, values[np.minimum(at, max(0, len(values) - 1))], 0)
 
 
-def mark(rows: np.ndarray, text_of: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+def _shards(row: np.ndarray, bits: int = 3) -> Iterator[np.ndarray]:
+    """Places of a row's features by their first bits: what is counted over them
+    takes an eighth of the memory at a time."""
+    first = (row >> np.uint64(64 - bits)).astype(np.uint8)
+    for k in range(1 << bits):
+        yield np.flatnonzero(first == k)
+
+
+def mark(rows: list[np.ndarray], text_of: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """For each word, whether it carries a marker and its text is toxic."""
     n_pos, n = int(toxic.sum()), len(toxic)
-    marked = np.zeros(rows.shape[1], bool)
+    marked = np.zeros(len(text_of), bool)
     if not n_pos or n_pos == n:
         return marked
     q = n_pos / n
     for row in rows:
-        keys, index = np.unique(row, return_inverse=True)
-        seen = np.unique((index.astype(np.int64) << 32) | text_of)
-        feature, of = seen >> 32, seen & 0xFFFFFFFF
-        total = np.bincount(feature, minlength=len(keys)).astype(float)
-        pos = np.bincount(feature, weights=toxic[of], minlength=len(keys))
-        neg = total - pos
-        with np.errstate(divide="ignore", invalid="ignore"):
-            g2 = 2 * (np.where(pos > 0, pos * np.log(pos / (total * q)), 0) + np.where(neg > 0, neg * np.log(neg / (total * (1 - q))), 0))
-        marked |= ((g2 >= LEAST_G2) & (pos >= PURITY * total) & (keys != 0))[index]
+        for at in _shards(row):
+            keys, index = np.unique(row[at], return_inverse=True)
+            seen = np.unique((index.astype(np.int64) << 32) | text_of[at])
+            feature, of = seen >> 32, seen & 0xFFFFFFFF
+            total = np.bincount(feature, minlength=len(keys)).astype(float)
+            pos = np.bincount(feature, weights=toxic[of], minlength=len(keys))
+            neg = total - pos
+            with np.errstate(divide="ignore", invalid="ignore"):
+                g2 = 2 * (np.where(pos > 0, pos * np.log(pos / (total * q)), 0) + np.where(neg > 0, neg * np.log(neg / (total * (1 - q))), 0))
+            marked[at] |= ((g2 >= LEAST_G2) & (pos >= PURITY * total) & (keys != 0))[index]
     return marked & toxic[text_of]
 
 
@@ -170,39 +179,46 @@ class Distinct:
         return out
 
 
-def prepare(sample: list[tuple[int, str]], at_once: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Feature rows of the sample's distinct texts, the bounds of each text's words
+def prepare(sample: list[tuple[int, str]], at_once: int = 256) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Feature rows (an array each) of the sample's distinct texts, the bounds of each text's words
     and whether it is toxic; worked through a few texts at a time."""
-    new, rows, sizes, toxic = Distinct(), [], [], []
+    new, parts, sizes, toxic = Distinct(), [[] for _ in range(1 + len(PREFIXES))], [], []
     for i in range(0, len(sample), at_once):
         part = sample[i : i + at_once]
         w, own = features(pa.array([t for _, t in part], pa.large_string()))
         alone = new(w)
-        rows.append(own[:, alone[w.text_of()]])
+        keep = alone[w.text_of()]
+        for k, row in enumerate(own):
+            parts[k].append(row[keep])
         sizes.append(np.diff(w.first)[alone])
         toxic.append(np.array([int(y) == 1 for y, _ in part])[alone])
     first = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-    return np.concatenate(rows, 1), first, np.concatenate(toxic)
+    rows = []
+    for part in parts:
+        rows.append(np.concatenate(part))
+        part.clear()
+    return rows, first, np.concatenate(toxic)
 
 
-def _features_kept(rows: np.ndarray, text_of: np.ndarray) -> np.ndarray:
+def _features_kept(rows: list[np.ndarray], text_of: np.ndarray) -> np.ndarray:
     """Hashes of the features in ``LEAST_DOCS`` texts at least, in order; 0 comes
     first and stands for all others."""
-    found = []
+    found = [np.zeros(1, np.uint64)]
     for row in rows:
-        order = np.argsort(row, kind="stable")  # a feature's words stay in order of their texts
-        key, text = row[order], text_of[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
-        keys, count = np.unique(key[new], return_counts=True)
-        found.append(keys[count >= LEAST_DOCS])
-    return np.unique(np.concatenate([np.zeros(1, np.uint64), *found]))
+        for at in _shards(row):
+            at = at[np.argsort(row[at], kind="stable")]  # a feature's words stay in order of their texts
+            key, text = row[at], text_of[at]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
+            keys, count = np.unique(key[new], return_counts=True)
+            found.append(keys[count >= LEAST_DOCS])
+    return np.unique(np.concatenate(found))
 
 
 class _Learner:
     """Adagrad on the field's weights, by batches of whole documents."""
 
-    def __init__(self, field: Field, index: np.ndarray, first: np.ndarray, rate: float) -> None:
+    def __init__(self, field: Field, index: list[np.ndarray], first: np.ndarray, rate: float) -> None:
         self.field, self.index, self.first, self.rate = field, index, first, rate
         self.start, self.size, self.bound = sequences(first)
         self.squares, self.chain_squares, self.bias_square = np.full(field.weights.shape, 1e-2), np.full((2, 2), 1e-2), 1e-2
@@ -229,7 +245,7 @@ class _Learner:
         s, n = self.start[pick], self.size[pick]
         at = np.minimum(s + np.arange(SEQUENCE)[:, None], len(self.before) - 1)
         live = np.arange(SEQUENCE)[:, None] < n
-        ids, before, after = self.index[:, at], self.before[at], self.after[at]
+        ids, before, after = np.stack([x[at] for x in self.index]), self.before[at], self.after[at]
         emit = f.weights[0][ids].sum(0) + f.weights[1][before] + f.weights[2][after] + f.bias
         p, joint, clean = f.marginals(np.where(live, emit, 0), n)
         d, g = pull(docs, np.repeat(np.arange(len(docs)), np.diff(self.bound)[docs]), at, live, p, joint, clean, n)
@@ -256,17 +272,19 @@ def train(sample: list[tuple[int, str]], rate: float = 0.5, rounds: int = ROUNDS
     if not any(int(y) == 1 for y, _ in sample):
         return empty
     rows, first, toxic = prepare(sample)
-    text_of = np.repeat(np.arange(len(toxic)), np.diff(first))
+    text_of = np.repeat(np.arange(len(toxic), dtype=np.int32), np.diff(first))
     y = mark(rows, text_of, toxic)
     if not y.any():
         return empty
     keys = _features_kept(rows, text_of)
-    index = np.empty(rows.shape, np.int32)
-    for i, row in enumerate(rows):
-        place = np.searchsorted(keys, row)
+    index = []
+    while rows:
+        row = rows.pop(0)
+        place = np.searchsorted(keys, row).astype(np.int32)
         place[place == len(keys)] = 0
-        index[i] = np.where(keys[place] == row, place, 0)
-    del rows
+        index.append(np.where(keys[place] == row, place, np.int32(0)))
+    del text_of
+    give_back()
     field = Field(keys, np.zeros((3, len(keys))), -6.0, np.zeros((2, 2)))
     learner, rng = _Learner(field, index, first, rate), np.random.default_rng(3)
 
