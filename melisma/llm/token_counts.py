@@ -118,11 +118,17 @@ def count_tokens(df: DataFrame, text: str = "text", vocabulary: str = "byte_bpe_
             lengths, n_tokens = [], []
             for at in range(0, batch.num_rows, 256):
                 texts = [x or "" for x in column.slice(at, 256).to_pylist()]
-                lengths += map(n_bytes, texts)
+                sizes = [n_bytes(x) for x in texts]
+                lengths += sizes
                 got = [0] * len(texts)
-                parts = [(i, p) for i, x in enumerate(texts) if x for p in (safe_parts(x, part_bytes) if count.splits else [x])]
-                for a, b in slices([p for _, p in parts], [n_bytes(p) for _, p in parts], batch_bytes):
-                    for (i, _), n in zip(parts[a:b], count([p for _, p in parts[a:b]]), strict=True):
+                parts = []
+                for i, (x, n) in enumerate(zip(texts, sizes, strict=True)):
+                    if count.splits and n > part_bytes:
+                        parts += [(i, p, n_bytes(p)) for p in safe_parts(x, part_bytes)]
+                    elif n:
+                        parts.append((i, x, n))
+                for a, b in slices([p for _, p, _ in parts], [n for _, _, n in parts], batch_bytes):
+                    for (i, _, _), n in zip(parts[a:b], count([p for _, p, _ in parts[a:b]]), strict=True):
                         got[i] += n
                 n_tokens += got
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(lengths, pa.int64()), pa.array(n_tokens, pa.int64())], names=[*keep, "n_bytes", "n_tokens"])
