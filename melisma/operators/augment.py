@@ -66,12 +66,12 @@ def vowel_scaled(df: DataFrame, unit: list[str]) -> DataFrame:
 
 
 # --- seeds -------------------------------------------------------------------
-def gap_seeds(segments: DataFrame, by: list[str], shortest: float | None = None) -> DataFrame:
+def gap_seeds(segments: DataFrame, by: list[str], shortest: float | None = None, gap: float = 0.0) -> DataFrame:
     """Segments that another follows, with ``t`` their end and ``seed`` 1 where the
-    next begins later; 0 after one shorter than ``shortest``."""
+    next begins more than ``gap`` later; 0 after one shorter than ``shortest``."""
     w = Window.partitionBy(*by).orderBy("on")
     rows = segments.withColumn("__next", F.lead("on").over(w)).where("__next IS NOT NULL").withColumn("t", F.col("off"))
-    seed = F.when(F.col("off") < F.col("__next"), 1)
+    seed = F.when(F.col("off") < F.col("__next") - gap, 1)
     if shortest is not None:
         seed = seed.when(F.col("off") - F.col("on") < shortest, 0)
     return rows.withColumn("seed", seed.cast("int")).drop("__next")

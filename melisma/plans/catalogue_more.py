@@ -84,8 +84,7 @@ def classify_attract(spark, d):
 # --- seeds -----------------------------------------------------------------------
 @query("fi:i s:i t:d seed:i", f"WITH {_CAND}, g AS (SELECT *, lead(on_) OVER (PARTITION BY fi ORDER BY on_) AS nx FROM grp) SELECT fi, s, off_ AS t, CASE WHEN off_ < nx - 0.22 THEN 1 WHEN off_ - on_ < 3.8 THEN 0 END AS seed FROM g WHERE nx IS NOT NULL")
 def gap_seeds(spark, d):
-    rows = groups(candidates(spark, d))
-    return augment.gap_seeds(rows.withColumn("off", F.col("off") + 0.22), ["fi"], 4.02).withColumn("t", F.col("t") - 0.22)
+    return augment.gap_seeds(groups(candidates(spark, d)), ["fi"], 3.8, 0.22)
 
 
 @query("fi:i event_id:i seed:i", f"WITH {_CAND} SELECT fi, event_id, CASE WHEN seed = 1 THEN 1 WHEN EXISTS (SELECT 1 FROM cand b WHERE b.fi = a.fi AND b.seed = 1 AND b.t > a.t AND b.t - a.t < 0.63) THEN 0 ELSE seed END AS seed FROM cand a")

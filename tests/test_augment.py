@@ -88,3 +88,12 @@ def test_bad_seeds(spark):
     df = spark.createDataFrame([(0, 0.0, [1.0], True, 1), (0, 1.0, [1.0], False, 1), (0, 2.0, [1.0], False, 1)], SCHEMA)
     seeds = lambda m: [r["seed"] for r in augment.drop_bad_seeds(df, ["f"], m).orderBy("t").collect()]
     assert seeds("abs") == [None, 1, 1] and seeds("delta") == [None, None, 1]
+
+
+def test_gap_seeds_on_their_limits(spark):
+    """Lengths and gaps are those of the segments themselves: 11.85 - 8.05 is just below 3.8, 20.0 - 16.2 just above."""
+    df = spark.createDataFrame([(0, 8.05, 11.85), (0, 12.0, 16.0), (0, 16.2, 20.0), (0, 20.1, 25.0), (0, 25.3, 30.0), (0, 30.1, 35.0)], "f int, on double, off double")
+    got = sorted((r["t"], r["seed"]) for r in augment.gap_seeds(df, ["f"], 3.8, 0.22).collect())
+    assert got == [(11.85, 0), (16.0, None), (20.0, None), (25.0, 1), (30.0, None)]
+    got = sorted((r["t"], r["seed"]) for r in augment.gap_seeds(df, ["f"]).collect())
+    assert got == [(11.85, 1), (16.0, 1), (20.0, 1), (25.0, 1), (30.0, 1)]
