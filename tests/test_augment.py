@@ -1,13 +1,17 @@
 """Candidates' classes against plain loops."""
 
+import os
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from melisma.operators import augment
+from melisma.plans import catalogue
 
+DATA = os.environ.get("MELISMA_TEST_DATA", "/root/testdata/sf0.001")
 SCHEMA = "f int, t double, v array<double>, bad boolean, seed int"
 
 
@@ -97,3 +101,14 @@ def test_gap_seeds_on_their_limits(spark):
     assert got == [(11.85, 0), (16.0, None), (20.0, None), (25.0, 1), (30.0, None)]
     got = sorted((r["t"], r["seed"]) for r in augment.gap_seeds(df, ["f"]).collect())
     assert got == [(11.85, 1), (16.0, 1), (20.0, 1), (25.0, 1), (30.0, 1)]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+@pytest.mark.parametrize("name", ["gap_seeds"])
+def test_nulls_where_the_sql_has_them(spark, name):
+    """Row by row; pandas' nullable integers let a null pass for any number."""
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{DATA}/events.parquet'")
+    rows = catalogue.QUERIES[name](spark, DATA)
+    want = c.execute(f"SELECT {', '.join(rows.columns)} FROM ({catalogue.SQL[name]})").fetchall()
+    assert sorted(map(repr, map(tuple, rows.collect()))) == sorted(map(repr, want))
