@@ -114,6 +114,17 @@ def array_percentile(sorted_array: Column, p: Column) -> Column:
     return a + (b - a) * (at - low)
 
 
+def fused_percentile(sorted_array: Column, p: float) -> Column:
+    """Percentile of a sorted array, ``p`` in percent, linear between elements.  Of the two
+    products one is added unrounded, which keeps the value between elements that differ
+    in their last digits; rounding both may put it on the upper one."""
+    at = (F.size(sorted_array) - 1) * F.lit(p / 100)
+    low = F.floor(at).cast("int")
+    a, b, step = F.get(sorted_array, low), F.get(sorted_array, low + 1), at - low
+    fused = F.reflect(F.lit("java.lang.Math"), F.lit("fma"), a, 1 - step, b * step).cast("double")
+    return F.when(step == 0, a).when(a.isNotNull() & b.isNotNull(), fused)
+
+
 def euclid(a: Column, b: Column, weights: Column | None = None) -> Column:
     """Euclidean distance of two arrays, each coordinate weighted."""
     terms = F.zip_with(a, b, lambda x, y: F.pow(x - y, 2))

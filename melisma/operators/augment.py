@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalar import euclid, iqr, nonzero, percentile
+from ..functions.scalar import euclid, fused_percentile, iqr, nonzero, percentile
 from ..storage import saved
 from .interval import asof_previous, range_join
 
@@ -239,7 +239,9 @@ def centroids(df: DataFrame, unit: list[str], method: str, percent: float, weigh
     # The higher, the nearer to class 1.
     alone = d1 if flipped else -d1
     ratio = rows.join(first, key).withColumn("__d", F.when(both, d0 / nonzero(d1)).otherwise(alone))
-    limit = ratio.groupBy(*key).agg(percentile("__d", percent).alias("__p"), F.avg("__d").alias("__m"), F.max("__d").alias("__top"))
+    # Rows of equal distance may differ in its last digit and have the limit between them.
+    limit = ratio.groupBy(*key).agg(F.sort_array(F.collect_list("__d")).alias("__p"), F.avg("__d").alias("__m"), F.max("__d").alias("__top"))
+    limit = limit.withColumn("__p", fused_percentile(F.col("__p"), percent))
     above = F.col("__d") > F.when(F.col("__top") > F.col("__p"), F.col("__p")).otherwise(F.col("__m"))
     halves = by_column(ratio.join(limit, key).withColumn("__h", above), key, keep=("__h",), h0=F.coalesce(F.median(F.when(~F.col("__h"), F.col("x"))), F.median("x")), h1=F.coalesce(F.median(F.when(F.col("__h"), F.col("x"))), F.median("x")))
     out = first.join(halves, key, "left")

@@ -2,12 +2,14 @@
 
 import os
 import random
+from fractions import Fraction
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from melisma.functions import scalar
 from melisma.operators import augment
 from melisma.plans import catalogue
 
@@ -103,6 +105,27 @@ def test_gap_seeds_on_their_limits(spark):
     assert got == [(11.85, 1), (16.0, 1), (20.0, 1), (25.0, 1), (30.0, 1)]
 
 
+def test_seed_limit_between_near_equal_distances(spark):
+    """Distances from the seed 1 that differ in the last digit, 0.6 of the way from the 50th to the 51st of 63."""
+    far = [11.99584198795566, 11.995841987955657]
+    x = [20.0 + k for k in range(49)] + far + [1.0 + 0.1 * k for k in range(11)] + [0.0]
+    df = spark.createDataFrame([(0, float(i), [v], False, 1 if v == 0 else None) for i, v in enumerate(x)], SCHEMA)
+    c = augment.centroids(df, ["f"], "seed_prct", 80.0, "user", [1.0]).first()
+    assert c["c0"] == [float(np.median(x[:50]))] and c["c1"] == [float(np.median(x[50:]))]
+
+
+def test_fused_percentile(spark):
+    """Against one rounding less by fractions; of one, no and equal elements."""
+    rng = np.random.default_rng(7)
+    arrays = [sorted(rng.normal(0, 9, n).tolist()) for n in rng.integers(1, 40, 200)] + [[0.1] * 9, [2.5], []]
+    df = spark.createDataFrame(list(enumerate(arrays)), "k int, a array<double>")
+    got = {r["k"]: r["p"] for r in df.select("k", scalar.fused_percentile(F.col("a"), 80.0).alias("p")).collect()}
+    for k, a in enumerate(arrays):
+        at = (len(a) - 1) * 0.8
+        low, step = int(at // 1), at % 1
+        assert got[k] == (float(Fraction(a[low]) * Fraction(1 - step) + Fraction(a[low + 1] * step)) if a and step else a[low] if a else None)
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 @pytest.mark.parametrize("name", ["gap_seeds"])
 def test_nulls_where_the_sql_has_them(spark, name):
