@@ -21,6 +21,9 @@ from .interval import asof_previous, range_join
 #: Up to so many rows a unit is scaled by its largest magnitudes.
 SPARSE = 10
 
+#: Sums of scaled magnitudes that near to a limit lie on it.
+ON_LIMIT = 1e-12
+
 
 # --- features ----------------------------------------------------------------
 def feature_vector(df: DataFrame, weights: dict[str, float], magnitude: set[str] = frozenset()) -> tuple[DataFrame, list[float]]:
@@ -88,12 +91,13 @@ def near_seeds(df: DataFrame, by: list[str], least: float, both: bool = False) -
 
 def minmax_seeds(df: DataFrame, unit: list[str], low: float = 10.0, high: float = 90.0) -> DataFrame:
     """Seeds by the sum of a row's scaled magnitudes: 0 up to a low percentile of
-    it, 1 from a high one on."""
+    it, 1 from a high one on; a sum that rounding alone keeps from a limit is on it."""
     rows = scaled(df.withColumn("__v", F.transform("v", F.abs)), unit, "__v", few=0).withColumn("__s", _total("__v"))
     rows, key = _keyed(rows, unit)
     limits = rows.groupBy(*key).agg(percentile("__s", low).alias("__lo"), percentile("__s", high).alias("__hi"))
     rows = rows.join(limits, key)
-    return rows.withColumn("seed", F.when(F.col("__s") >= F.col("__hi"), 1).when(F.col("__s") <= F.col("__lo"), 0)).drop("__v", "__s", "__lo", "__hi", "__unit")
+    one, zero = F.col("__s") >= F.col("__hi") - ON_LIMIT, F.col("__s") <= F.col("__lo") + ON_LIMIT
+    return rows.withColumn("seed", F.when(one, 1).when(zero, 0)).drop("__v", "__s", "__lo", "__hi", "__unit")
 
 
 def word_seeds(df: DataFrame, words: DataFrame, by: list[str], weights: list[float], longest_0: float, shortest_1: float) -> DataFrame:

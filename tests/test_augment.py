@@ -126,6 +126,25 @@ def test_fused_percentile(spark):
         assert got[k] == (float(Fraction(a[low]) * Fraction(1 - step) + Fraction(a[low + 1] * step)) if a and step else a[low] if a else None)
 
 
+def test_minmax_seeds_of_equal_sums(spark):
+    """Tenths in units of 21 rows, where many sums are equal, against fractions."""
+    def between(x, percent):
+        x, at = sorted(x), Fraction((len(x) - 1) * percent, 100)
+        low = int(at)
+        return x[low] + (at - low) * (x[min(low + 1, len(x) - 1)] - x[low])
+
+    rng, rows, want = random.Random(3), [], {}
+    for f in range(100):
+        x = [[rng.randint(-9, 9) for _ in range(3)] for _ in range(21)]
+        cols = [[Fraction(abs(v), 10) for v in c] for c in zip(*x)]
+        sums = [sum(r) for r in zip(*([(v - between(c, 50)) / (between(c, 75) - between(c, 25) or 1) for v in c] for c in cols))]
+        low, high = between(sums, 10), between(sums, 90)
+        rows += [(f, float(t), [a / 10 for a in v], False, None) for t, v in enumerate(x)]
+        want |= {(f, float(t)): 1 if s >= high else 0 if s <= low else None for t, s in enumerate(sums)}
+    got = {(r["f"], r["t"]): r["seed"] for r in augment.minmax_seeds(spark.createDataFrame(rows, SCHEMA), ["f"]).collect()}
+    assert got == want
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 @pytest.mark.parametrize("name", ["gap_seeds"])
 def test_nulls_where_the_sql_has_them(spark, name):
