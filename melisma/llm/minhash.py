@@ -38,6 +38,9 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ui
 _LEAST_AGREEMENT = 0.8 - 5 * math.sqrt(0.8 * 0.2 / K)
 #: Texts, and bytes of text, that one verification task takes together.
 BLOCK_TEXTS, BLOCK_BYTES = 1500, 8 << 20
+#: Cells that are searched for darts at once, some 100 bytes each.  A set has about
+#: 1,000, however short, and six more for each of its elements.
+CELLS = 1 << 17
 #: Texts to verify whose keys (some 100 bytes each) are broadcast to the scan; with
 #: more of them the texts are joined by shuffle.
 BROADCAST_NODES = 500_000
@@ -79,7 +82,9 @@ def signatures(elements: np.ndarray, weights: np.ndarray, bound: np.ndarray) ->
         items = np.flatnonzero(wanted[of])
         region = 0
         while len(items):
-            _throw(out, elements[items], weights[items], of[items], limit[of[items]], region)
+            cells = np.cumsum(np.ceil(limit[of[items]] * (1 << region)) + len(_LOW)) // CELLS
+            for part in np.split(items, np.flatnonzero(np.diff(cells)) + 1):
+                _throw(out, elements[part], weights[part], of[part], limit[of[part]], region)
             region += 1
             items = items[weights[items] > (1 << region) - 1]
         missing = (out.reshape(n_sets, K) == np.iinfo(np.uint64).max).any(1)

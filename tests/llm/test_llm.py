@@ -529,6 +529,25 @@ def test_dart_signatures_estimate_weighted_similarity():
     assert np.allclose(agree, want, atol=0.13)
 
 
+def test_signing_short_texts_takes_little_memory(monkeypatch):
+    """5,000 texts of one shingle have 5 million cells; some heavy sets, a few more.  The same signatures at any bound."""
+    import tracemalloc
+
+    of = lambda texts: minhash.weighted_sets(*textvec.shingles(textvec.words_of(pa.array(texts)), 5))
+    short = of([f"w{i}" for i in range(5000)])
+    tracemalloc.start()
+    try:
+        minhash.signatures(*short)
+        assert tracemalloc.get_traced_memory()[1] < 50 << 20
+    finally:
+        tracemalloc.stop()
+    mixed = of(["", "a b", words(3000, 1), "x y " * 2000, *(words(n, n) for n in range(1, 60))])
+    want = minhash.signatures(*mixed)
+    for cells in (1, 1000, 1 << 40):
+        monkeypatch.setattr(minhash, "CELLS", cells)
+        assert (minhash.signatures(*mixed) == want).all()
+
+
 def test_connected_components(spark, tmp_path):
     pairs = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 102), (200, 200)]
     got = {r["node"]: r["comp"] for r in graph.connected_components(spark.createDataFrame(pairs, "a bigint, b bigint"), str(tmp_path / "g")).collect()}
